@@ -5,7 +5,7 @@ between the least and the greatest size, snapped to the nearest natural boundary
 first, then a line end, a sentence end, a word end, and only in a stretch without any of these the landmark
 itself.  Since landmarks and boundaries depend on nearby text only, an edit alters the pieces around it and
 leaves the others as they are.  Each piece starts ``overlap`` code points before the end of the one before
-it, moved to a word start where one is near.
+it, or up to half as many more where a word starts there.
 
 Texts of at most ``limit`` code points (without whitespace at both ends) and null texts give no piece.
 Offsets are 0-based code points in the text as given; pieces carry no whitespace at their ends.
@@ -84,8 +84,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
             end -= 1
         out.append((start, end, kind))
         back = max(start + 1, end - overlap)
-        k = int(np.searchsorted(words, back))
-        if k < len(words) and words[k] < min(end, back + overlap // 2):
+        k = int(np.searchsorted(words, back, side="right")) - 1
+        if k >= 0 and words[k] > max(start, back - overlap // 2):
             back = int(words[k])
         while back < stop and text[back].isspace():
             back += 1

@@ -39,7 +39,7 @@ def terms(text: str) -> list[str]:
     """Terms of a text, with repetitions."""
     out: list[str] = []
     for run in _TERMS.findall(text.lower()):
-        if run < "㐀":  # ASCII
+        if run.isascii():
             out.append(run)
         else:
             out.extend(run)
