@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import history as H
 from . import near_duplicates as N
+from . import neighbours as V
 from . import splitting as S
 from . import term_counts as TC
 
@@ -49,6 +50,14 @@ def p3_new(spark: SparkSession, d: str) -> DataFrame:
     return H.new_items(_history(spark, d), C.table(spark, d, "kb_documents"), C.table(spark, d, "incoming"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return V.alike_pairs(C.table(spark, d, "chunks"), "chunk_id", "vec", "dim", "embedder").toDF("chunk_id_a", "chunk_id_b")
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return V.neighbours(C.table(spark, d, "chunks"), "chunk_id", "vec", "dim", "embedder").withColumnsRenamed({"id": "chunk_id", "other": "neighbour"})
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     """All chunks as added records."""
     records = TC.once(C.table(spark, d, "chunks"), "chunk_id", "text")
@@ -64,7 +73,7 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_new, p5_found, p5_terms)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_new, p4_found, p4_neighbours, p5_found, p5_terms)}
 
 _ONCE = "SELECT chunk_id, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id"
 _NORM = r"trim(regexp_replace(lower(text), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
@@ -93,6 +102,12 @@ ORACLE: dict[str, str] = {
         SELECT item_id FROM x WHERE text IS NULL AND (h IN (SELECT regexp_replace(lower(trim(source_hash)), '^sha256:', '') FROM kb_documents WHERE source_hash IS NOT NULL)
           OR EXISTS (SELECT 1 FROM x y WHERE y.h = x.h AND y.place < x.place))""",
 }
+ORACLE["p4_found"] = """
+    WITH v AS (SELECT chunk_id, any_value(embedder) AS e, any_value(dim) AS dim, any_value(vec) AS v FROM chunks
+               WHERE len(vec) = dim AND len(list_filter(vec, lambda x: isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+    c AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.e IS NOT DISTINCT FROM b.e AND a.dim = b.dim AND a.chunk_id <> b.chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM c WHERE s >= 0.8)
+    SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE n <= 5"""
 _TERMS_SQL = f"""
     WITH r AS (SELECT chunk_id, lower(text) AS t FROM ({_ONCE}) WHERE {_NORM} <> ''),
     runs AS (SELECT chunk_id, unnest(regexp_extract_all(t, '[{TC.CJK}]+')) AS run FROM r),
