@@ -13,6 +13,7 @@ from . import mixing as M
 from . import near_duplicates as N
 from . import neighbours as V
 from . import packing as P
+from . import pii as PII
 from . import sentences as SE
 from . import splitting as S
 from . import term_counts as TC
@@ -100,7 +101,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.mix(C.table(spark, d, "documents"), C.table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_new, p4_found, p4_neighbours, p5_found, p5_terms, p6_found, p6_units, p7_pack, p7_report, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return PII.mentions(C.table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return PII.redacted(C.table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_new, p4_found, p4_neighbours, p5_found, p5_terms, p6_found, p6_units, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 _ONCE = "SELECT chunk_id, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id"
 _NORM = r"trim(regexp_replace(lower(text), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
