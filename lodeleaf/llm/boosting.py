@@ -33,7 +33,7 @@ class Boosted:
         return 1 / (1 + np.exp(-self.raw(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.25, smooth: float = 1.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.25, smooth: float = 1.0) -> Boosted:
     """Newton boosting on the log loss; cuts at up to 32 distinct values of a feature."""
     model = Boosted()
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)

@@ -224,6 +224,8 @@ _RIGHT = [
     re.compile(r" ?[A-ZÀ-Þ]"),
     re.compile(r"さん|氏|様|（電話|，电话|签字|先生|女士"),
     re.compile(r"['’]s "),
+    re.compile(r"[。，、；]"),
+    re.compile(r" \(born|, (?:SSN|NIR|DNI|now at|gemeldet)| / [\d+(]| \| |\t"),
     re.compile(r"\s*(?:$|\n)"),
     re.compile(r" ?(?:%|MB|GB|kg|rows|credits|fits|replaces?|marks|is reserved)"),
 ]
@@ -268,6 +270,8 @@ def features(text: str, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
             row[10] = _GERMAN.search(text, max(0, a - 80), b + 80) is not None
             row[11] = not s.isascii() and _HAN.search(s) is not None
             row[13] = any(w.lower() in _SENTENCE_WORDS for w in words[1:])
+            row[14] = len(tokens[0]) == 2 and tokens[0][1] == "."
+            row[15] = a > 0 and text[a - 1] == " " and text[max(0, a - 3) : a - 1].endswith(".")
         else:
             n = sum(c.isdigit() for c in s)
             row[0], row[1], row[2] = form, n, len(s)
