@@ -34,8 +34,8 @@ def tokenize(c: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbouring tokens joined by an underscore."""
-    n = F.size(tokens)
-    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: p < n), lambda p: F.concat_ws("_", F.get(tokens, p - 1), F.get(tokens, p)))
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws("_", a, b))
 
 
 def sentences(c: Column) -> Column:

@@ -7,6 +7,7 @@ A single question is a batch of one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeleaf.config import Config
@@ -15,6 +16,7 @@ from lodeleaf.functions.embedding import Embedder
 from lodeleaf.functions.vectors import dot
 from lodeleaf.operators import fusion, lexical, mmr, sections
 from lodeleaf.operators.filters import visible
+from lodeleaf.sources.lineage import cut
 
 BLOCK = 500  # queries that are broadcast at once
 _OPTIONAL = {"acls": "array<string>", "tags": "array<string>", "top_k": "int", "history": "array<string>", "domain_terms": "array<string>"}
@@ -39,8 +41,7 @@ def query_blocks(queries: DataFrame, size: int = BLOCK) -> list[DataFrame]:
     blocks = max(1, -(-n // size))
     if blocks == 1:
         return [queries]
-    kept = queries.checkpoint() if queries.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else queries
-    return [kept.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
 
 
 def pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -51,11 +52,12 @@ def pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def scored(queries: DataFrame, chunks: DataFrame, lexical_too: bool = True) -> DataFrame:
     """(query_id, top_k, chunk_id, doc_id, seq, vec_score, lex) of all visible chunks; vectors of another size than the query's have no score."""
-    rows = pairs(queries, chunks.select("chunk_id", "doc_id", "seq", "text", "acl", "tags", "vec"))
-    rows = rows.select("query_id", "q_terms", "top_k", "chunk_id", "doc_id", "seq", "text", dot(F.col("vec"), F.col("q_vec")).alias("vec_score"))
+    needed = chunks.select("chunk_id", "doc_id", "seq", "text", "acl", "tags", "vec")
+    rows = pairs(queries, lexical.tokenized(needed) if lexical_too else needed)
+    keys = ["query_id", "top_k", "chunk_id", "doc_id", "seq", dot(F.col("vec"), F.col("q_vec")).alias("vec_score")]
     if not lexical_too:
-        return rows.drop("q_terms", "text")
-    return lexical.scores(lexical.with_tokens(rows)).drop("q_terms", "text")
+        return rows.select(*keys)
+    return lexical.scores(lexical.frequencies(rows.select(*keys, "q_terms", "tokens"))).drop("q_terms")
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, config: Config, most_k: int) -> DataFrame:
@@ -72,14 +74,13 @@ def retrieve(queries: DataFrame, chunks: DataFrame, documents: DataFrame, tree:
     chunks, documents and tree: as in the store.  selected: (query_id, section, place), sections that were chosen
     elsewhere and take the place of the best ones."""
     found, scored_sections = [], []
-    most_k = config.top_k
-    ready = prepared(queries, config, embedder)
+    ready = cut(prepared(queries, config, embedder))
     most_k = max(config.top_k, ready.agg(F.max("top_k")).first()[0] or 0)
     for block in query_blocks(ready):
         ranked = candidates(block, chunks, config, most_k)
         # a few rows for each query; rows and vectors come back by a join that starts from these
         details = chunks.select("chunk_id", "text", "page", "start_pos", "end_pos", "section", "acl", "tags", "vec")
-        ranked = ranked.join(details, "chunk_id")
+        ranked = cut(cut(ranked).join(details, "chunk_id"))  # at most two pools of rows for each query
         nodes = sections.scores(ranked, tree.select(F.col("doc_id").alias("id"), "section", "level", "ordinal", "parent"))
         kept = fusion.at_least(ranked, config.min_score)
         chosen = selected if selected is not None else sections.first_sections(nodes, config.structure_top_sections) if config.structure_aware else None
@@ -90,8 +91,6 @@ def retrieve(queries: DataFrame, chunks: DataFrame, documents: DataFrame, tree:
             picked = mmr.mmr(kept, config.mmr_lambda, config.top_k)
             final = kept.drop("rank").join(picked, ["query_id", "chunk_id"]).withColumnRenamed("final_rank", "rank")
         else:
-            from pyspark.sql import Window as W
-
             final = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= own_k)
         cited = final.join(documents.select("doc_id", "path", "title"), "doc_id")
         found.append(cited.select("query_id", "rank", "chunk_id", "doc_id", "score", "text", "page", "start_pos", "end_pos", "path", "title", "acl", "section", "tags"))

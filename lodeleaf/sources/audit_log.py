@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import time
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -116,13 +117,24 @@ def verify_lines(lines: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("entries"), F.min(F.when(F.col("problem").isNotNull(), F.struct("line", "problem"))).alias("x")).select("entries", "x.line", "x.problem")
 
 
-def chain(events: DataFrame, order: Column, body: Column) -> DataFrame:
-    """(n, prev, hash) of a batch of events, in order: each hash is of the one before and the body.
+def chain(events: DataFrame, order: list[str], body: Column) -> DataFrame:
+    """(n, prev, hash) of events in an order: each hash is of the one before, a bar and the body.
 
-    A chain is sequential by nature; the batch is folded in one row, so it is for batches, not for histories."""
-    rows = events.select(order.alias("o"), body.alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "b"))), lambda x: x["b"]).alias("bodies"))
-    hashes = F.aggregate("bodies", F.array(F.lit(GENESIS)), lambda s, b: F.concat(s, F.array(F.sha2(F.concat(F.element_at(s, -1), F.lit("|"), b), 256))))
-    return rows.select(F.posexplode(hashes).alias("n", "hash"), hashes.alias("all")).filter("n > 0").select(F.col("n").cast("long").alias("n"), F.get("all", F.col("n") - 1).alias("prev"), "hash")
+    A chain has one order, so one task runs along the sorted bodies; it holds a batch of them at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, prev = 0, GENESIS
+        for batch in batches:
+            rows = []
+            for text in batch["body"]:
+                n += 1
+                digest = hashlib.sha256(f"{prev}|{text}".encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((n, prev, digest))
+                prev = digest
+            yield pd.DataFrame(rows, columns=["n", "prev", "hash"])
+
+    one = events.select(*order, body.alias("body")).repartition(1).sortWithinPartitions(*order)
+    return one.mapInPandas(run, "n long, prev string, hash string")
 
 
 def events(lines: DataFrame) -> DataFrame:
