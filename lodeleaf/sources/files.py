@@ -114,12 +114,26 @@ def hashes(files: DataFrame) -> DataFrame:
     return files.select(local_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("source_hash"))
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of no bytes, which the binaryFile source leaves out of its listing."""
+    if "://" not in path:
+        found = [path] if os.path.isfile(path) else [os.path.join(at, n) for at, _, names in os.walk(path) for n in names]
+        return [f for f in found if not os.path.basename(f).startswith(("_", ".")) and os.path.getsize(f) == 0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing, out = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            out.append(status.getPath().toString())
+    return out
+
+
 def scan(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
     """Files under paths (path, content), folders with all below them; and the paths that don't exist."""
     missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
     there = [os.path.abspath(p) if "://" not in p else p for p in paths if p not in missing]
     if not there:
         return None, missing
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there).select("path", "content"), missing
-
-
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there).select("path", "content")
+    empty = [(f, bytearray()) for p in there for f in _empty_files(spark, p)]
+    return files.union(spark.createDataFrame(empty, "path string, content binary")) if empty else files, missing
