@@ -62,10 +62,11 @@ class HashingEmbedder:
         tokens = tokens_of(text or "")
         if self.use_bigrams:
             tokens = tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:], strict=False)]
-        v = np.zeros(self.dim)
-        if tokens:
-            at = np.array([self.place(t) for t in tokens])
-            np.add.at(v, at[:, 0], at[:, 1])
+        sums, place = [0] * self.dim, self.place
+        for t in tokens:
+            i, sign = place(t)
+            sums[i] += sign
+        v = np.array(sums, dtype=np.float64)
         length = float(np.sqrt(v @ v))
         return v / (length or 1.0)
 

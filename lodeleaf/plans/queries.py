@@ -16,7 +16,7 @@ from lodeleaf.operators import answer, chunking, evaluate, filters, fusion, lexi
 from lodeleaf.plans import retrieve
 from lodeleaf.plans.engine import status_of
 from lodeleaf.sources import audit_log, files, store
-from lodeleaf.sources.lineage import cut
+from lodeleaf.sources.lineage import cut, spread
 from lodeleaf.streaming.incremental import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_table(spark, d, "documents"))
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
@@ -203,7 +207,7 @@ _WINDOWS_SQL = f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM docume
 
 
 def _plain_windows(spark, d) -> DataFrame:
-    return chunking.windows(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return chunking.windows(_documents(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 @query(_WINDOWS_SQL + "SELECT doc_id, seq, start_pos, end_pos, sha256(t) AS text_hash FROM windows")
@@ -230,13 +234,13 @@ def page_asof(spark, d):
 
 @query()
 def markdown_windows(spark, d):
-    docs = _table(spark, d, "documents").withColumn("markdown", T.is_markdown(F.col("path")))
+    docs = _documents(spark, d).withColumn("markdown", T.is_markdown(F.col("path")))
     return chunking.windows(docs, "doc_id", "text", 800, 120, "markdown").select(F.col("id").alias("doc_id"), "seq", "start", "end", "section", "text")
 
 
 @query()
 def section_paths(spark, d):
-    docs = _table(spark, d, "documents").filter(T.is_markdown(F.col("path")))
+    docs = _documents(spark, d).filter(T.is_markdown(F.col("path")))
     return chunking.sections(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
@@ -360,7 +364,7 @@ _NODES_SQL = f"""{_SCORED_SQL}, {_SECTION_SQL},
 
 
 def _candidates(spark, d) -> DataFrame:
-    return _ranking(spark, d).join(_chunks(spark, d).select("chunk_id", "section", "text", "start_pos"), "chunk_id")
+    return cut(_ranking(spark, d).join(_chunks(spark, d).select("chunk_id", "section", "text", "start_pos"), "chunk_id"))
 
 
 @query(_NODES_SQL + " SELECT query_id, section, CAST(level AS INTEGER) AS level, round(score, 6) AS score, place FROM nodes WHERE place <= 20")
@@ -547,20 +551,20 @@ def chain_verify(spark, d):
 
 @query()
 def hash_embed(spark, d):
-    return _table(spark, d, "documents").select("doc_id", HashingEmbedder().column(F.col("text")).alias("vec"))
+    return _documents(spark, d).select("doc_id", HashingEmbedder().column(F.col("text")).alias("vec"))
 
 
 @query()
 def hashed_vector_topk(spark, d):
     e = HashingEmbedder()
-    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("seq"), "text", F.lit("public").alias("acl"), F.array().cast("array<string>").alias("tags"), e.column(F.col("text")).alias("vec"))
+    docs = _documents(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("seq"), "text", F.lit("public").alias("acl"), F.array().cast("array<string>").alias("tags"), e.column(F.col("text")).alias("vec"))
     q = retrieve.prepared(spark.createDataFrame(_WORDS[:2], _QUERY_DDL), Config(), e)
     return fusion.vector_only(retrieve.scored(q, docs, False), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 @query()
 def html_extract(spark, d):
-    docs = _table(spark, d, "documents").filter("text is not null").select(F.concat("path", F.lit(".html")).alias("path"), F.to_binary(F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><p>"), "text", F.lit("</p></body></html>")), F.lit("utf-8")).alias("content"))
+    docs = _documents(spark, d).filter("text is not null").select(F.concat("path", F.lit(".html")).alias("path"), F.to_binary(F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><p>"), "text", F.lit("</p></body></html>")), F.lit("utf-8")).alias("content"))
     return files.documents_of(docs).select("path", "source_hash", "title", "text")
 
 
