@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from lodeleaf.sources.lineage import checkpoint_dir, cut, spread  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 GRAM = 9  # code points of a shingle in the measure of TESTDATA.md
@@ -24,23 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not where:
-        where = Path(tempfile.mkdtemp(prefix="checkpoint-")).as_uri()
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(where)
-    return str(where)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder, so that nothing before is run again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def normalise(text: str) -> str:
     """Lower case, each run of Unicode whitespace one space, ends trimmed."""
     return " ".join(text.lower().split())

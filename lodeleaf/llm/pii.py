@@ -358,7 +358,7 @@ _REDACTED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_mentio
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return C.spread(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
 
 def mentions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

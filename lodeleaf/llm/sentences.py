@@ -262,6 +262,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def unit_ends(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, unit_end)"""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).filter("t is not null")
+    rows = C.spread(rows)
     ends = rows.mapInArrow(_units, "id string, ends array<int>").dropDuplicates(["id"])
     return ends.select("id", F.explode("ends").alias("unit_end"))
 
@@ -269,6 +270,7 @@ def unit_ends(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, unit_no, unit_end, text): the units with their texts."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).filter("t is not null")
+    rows = C.spread(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.rechunk(batches, 1024):
