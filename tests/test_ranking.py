@@ -85,7 +85,7 @@ def test_mmr_against_brute_force(spark):
     for n, k, lam in ((1, 5, 0.3), (12, 5, 0.3), (12, 12, 0.9), (6, 3, 0.0)):
         vec, score = rng.normal(size=(n, 4)), sorted(rng.random(n), reverse=True)
         assert mmr.pick(np.array(score), vec, k, lam) == brute_mmr(score, vec, k, lam)
-    df = spark.createDataFrame([(1, "a", 1, 0.9, [1.0, 0.0]), (1, "b", 2, 0.89, [1.0, 0.0]), (1, "c", 3, 0.5, [0.0, 1.0]), (2, "z", 1, 0.1, None)], "query_id long, chunk_id string, rank int, score double, vec array<double>")
+    df = spark.createDataFrame([(1, "a", 1, 0.9, [1.0, 0.0]), (1, "b", 2, 0.89, [1.0, 0.0]), (1, "c", 3, 0.88, [0.0, 1.0]), (2, "z", 1, 0.1, None)], "query_id long, chunk_id string, rank int, score double, vec array<double>")
     got = {(r.query_id, r.final_rank): r.chunk_id for r in mmr.mmr(df, 0.9, 2).collect()}
     assert got == {(1, 1): "a", (1, 2): "c", (2, 1): "z"}
 
