@@ -8,8 +8,9 @@ the sample shows to be longer than ``CELL`` is cut to blocks, and pairs of block
 vectors are one class, of which the k + 1 smallest ids are enough for any answer, so that a hot group of
 copies is one row.
 
-What is sent is 16 bits for each number, which leaves an error of about 1e-5 in a cosine.  Measured on 22,411
-vectors of 128 numbers against brute force: 99.8 % of the pairs of at least 0.8, 94 % of the five nearest.
+What is sent is 16 bits for each number, which leaves an error of about 1e-5 in a cosine.  Measured against
+brute force: 99.8 % of the pairs of at least 0.8 with the settings below (22,411 vectors); 98 % of the five nearest
+of all with lists of 3,000 and six copies, 83 % with the settings below (221,774 vectors).
 
 Null ids, vectors that are null, of another size than ``dim``, not finite or all zero take no part.  Repeated
 rows of an id count once for each different vector.  Ties go to the smaller id.
@@ -138,10 +139,10 @@ class CentroidGraph:
         return ids, score
 
 
-def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: up to COPIES lists of each vector, as far as the ratio of distances admits."""
+def lists_of(graph: CentroidGraph, x: np.ndarray, copies: int = COPIES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: up to so many lists of each vector, as far as the ratio of distances admits."""
     ids, score = graph.search(x)
-    ids, score = ids[:, :COPIES], score[:, :COPIES]
+    ids, score = ids[:, :copies], score[:, :copies]
     distance = np.sqrt(np.maximum(2 - 2 * score, 0))
     keep = (ids >= 0) & (distance <= np.maximum(distance[:, :1], 0.05) * RATIO)
     keep[:, 0] = True
@@ -154,7 +155,7 @@ def _cells(n_blocks: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(n_blocks**2)]
 
 
-def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]]):
+def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]], copies: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graphs = {}
         seen: set[int] = set()
@@ -172,7 +173,7 @@ def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]]):
                     graphs[name] = CentroidGraph(centroids)
                 fp = part.column(3).to_numpy()
                 packed = part.column(4).to_pylist()
-                row, which = lists_of(graphs[name], unpack(packed, name[1]))
+                row, which = lists_of(graphs[name], unpack(packed, name[1]), copies)
                 first, b = _cells(blocks)[which] + base, blocks[which]
                 own = (C.mix(fp[row].view(np.uint64).copy()) % b.astype(np.uint64)).astype(np.int64)
                 # a row of block o meets the blocks after it as the left side, those before it as the right one
@@ -244,7 +245,7 @@ def _nearest(k: int, least: float):
     return near
 
 
-def nearest_classes(packed: DataFrame, sizes: dict[tuple[str, int], int], k: int, least: float) -> DataFrame:
+def nearest_classes(packed: DataFrame, sizes: dict[tuple[str, int], int], k: int, least: float, list_size: int, copies: int) -> DataFrame:
     """(fp, other, similarity): for each class of equal vectors its k nearest other classes."""
     spark = packed.sparkSession
     groups, base = {}, 0
@@ -255,28 +256,30 @@ def nearest_classes(packed: DataFrame, sizes: dict[tuple[str, int], int], k: int
         if not rows:
             continue
         sample = unpack(rows, dim)
-        n_lists = max(1, min(MOST_LISTS, round(n / LIST), len(sample) // 8))
+        n_lists = max(1, min(MOST_LISTS, round(n / list_size), len(sample) // 8))
         centroids = train(sample, n_lists)
-        row, which = lists_of(CentroidGraph(centroids), sample[:8192])
+        row, which = lists_of(CentroidGraph(centroids), sample[:8192], copies)
         share = np.bincount(which, minlength=len(centroids)) * (n / min(len(sample), 8192))
         blocks = np.maximum(1, np.ceil(share / CELL)).astype(np.int64)
         groups[(embedder, dim)] = (base, centroids, blocks)
         base += int(_cells(blocks)[-1])
     if not groups:
         return spark.createDataFrame([], "fp long, other long, similarity double")
-    placed = packed.mapInArrow(_place(groups), "cell long, side byte, fp long, packed binary").repartition("cell").sortWithinPartitions("cell")
+    placed = packed.mapInArrow(_place(groups, copies), "cell long, side byte, fp long, packed binary").repartition("cell").sortWithinPartitions("cell")
     near = placed.mapInArrow(_nearest(k, least), "fp long, other long, similarity double").groupBy("fp", "other").agg(F.max("similarity").alias("similarity"))
     return near
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, dim_col: str, embedder_col: str, k: int = 5, least: float = -1.0) -> DataFrame:
-    """(id, other, similarity, rank): the k most similar other ids of each id, of at least the least similarity."""
+def neighbours(df: DataFrame, id_col: str, vec_col: str, dim_col: str, embedder_col: str, k: int = 5, least: float = -1.0, list_size: int | None = None, copies: int = COPIES) -> DataFrame:
+    """(id, other, similarity, rank): the k most similar other ids of each id, of at least the least similarity.
+
+    Longer lists and more copies find more of the distant neighbours, at a higher cost."""
     from pyspark.sql import Window as W
 
     source = usable(df, id_col, vec_col, dim_col, embedder_col)
     sizes = {(r[0], r[1]): r[2] for r in source.groupBy("embedder", "dim").count().collect()}  # a row for each embedder and size
     packed = source.mapInArrow(_pack, "id string, embedder string, dim int, fp long, packed binary")
-    near = C.cut(nearest_classes(packed, sizes, k, least))
+    near = C.cut(nearest_classes(packed, sizes, k, least, list_size or LIST, copies))
     members = packed.select("id", "fp").distinct()
     first = W.partitionBy("fp").orderBy("id")
     slots = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("fp").agg(F.array_sort(F.collect_list("id")).alias("slots"))

@@ -59,7 +59,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return V.neighbours(C.table(spark, d, "chunks"), "chunk_id", "vec", "dim", "embedder").withColumnsRenamed({"id": "chunk_id", "other": "neighbour"})
+    return V.neighbours(C.table(spark, d, "chunks"), "chunk_id", "vec", "dim", "embedder", list_size=3000, copies=6).withColumnsRenamed({"id": "chunk_id", "other": "neighbour"})
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
