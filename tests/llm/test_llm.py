@@ -135,6 +135,35 @@ def test_history_against_brute_force(spark, tmp_path):
     assert [x[0] for x in h.duplicates(again).collect()] == [100] and h.duplicates(batch.limit(0)).count() == 0
 
 
+def test_history_finds_a_family_of_variants(spark, tmp_path):
+    """Items that share most pieces with one another, each alike to one stored text only, at 0.60 to 0.65."""
+    r = random.Random(6)
+    base = "".join(r.choice("abcdefghij klmnop") for _ in range(600))
+    items = []
+    while len(items) < 150:
+        step = r.uniform(28, 40)
+        places = [int((k + 0.2 + (0.1 if len(items) % 2 else 0.6) * r.random()) * step) for k in range(int(600 / step))]
+        t = list(base)
+        for p in places:
+            t[p] = r.choice("uvwxyz")
+        t = C.normalise("".join(t))
+        if 0.6 <= C.jaccard(C.gram_set(C.normalise(base)), C.gram_set(t)) <= 0.65 and not any(alike(t, u) for u in items):
+            items.append(t)
+    h = H.History(spark, str(tmp_path / "h"))
+    h.append(spark.createDataFrame([(base,)], "text string"))
+    batch = spark.createDataFrame([(i, 1, t) for i, t in enumerate(items)], "item_id long, batch_no int, text string")
+    assert {x[0] for x in h.duplicates(batch).collect()} == set(range(150))
+
+
+def test_bitmaps_leave_out_no_pair_that_is_alike():
+    r = random.Random(7)
+    texts = [C.normalise("中文" * 150 + text(20, r)), "a" * 300] + [edited(t, k, r) for t in (text(60, r), text(40, r), text(700, r)) for k in (0, 2, 5, 9, 14, 30)]
+    bits, most = H.bitmaps(texts), np.array([len(t) - 8 for t in texts])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        may = H.may_be_alike(bits[[i]], bits[[j]], most[[i]], most[[j]])[0]
+        assert may or not alike(texts[i], texts[j])
+
+
 def test_hashes(spark):
     kb = spark.createDataFrame([("SHA256:AB12",), (None,), ("",)], "source_hash string")
     rows = [(1, 1, None, "ab12 "), (2, 1, None, "cd"), (3, 2, None, "sha-256=CD"), (4, 2, "t", "ab12"), (5, 2, None, None), (6, 1, "t", "ef"), (7, 1, None, "EF"), (3, 2, None, "sha-256=CD")]
