@@ -1,14 +1,15 @@
 """Sentence units of texts in spaced and spaceless scripts.
 
 A line break always ends a unit.  Within a line the gaps behind terminators (and in Thai behind spaces) are
-candidates, which form a lattice over the line; an edge of it is a unit, and its cost comes from the gap it ends
-at and from quotations that it would tear apart.  The cheapest path gives the units.
+candidates, and rules judge each by itself.  There is no lattice of terminators: the cost of a unit would come from
+the gap it ends at and the quotations torn there, so the cheapest path would be the same choice at each gap.
 
 - Spaced scripts (Latin, Arabic, Devanagari): a gap is judged by the word before a full stop (abbreviation,
   initial, number, ordinal), by what comes next (case, digit, address, opening mark), and by closing marks.
-- Spaceless scripts (Chinese, Japanese, Thai): the text on both sides of a gap is segmented by a word
-  lattice over a small dictionary of final particles, reporting words and opening words; a quotation goes on if a
-  particle or a reporting clause follows it.  In Thai a space before Thai text is a gap.
+- Spaceless scripts (Chinese, Japanese): the text behind a closing mark is segmented by a word lattice over a small
+  dictionary; a quotation goes on if a particle or a reporting clause follows it.  Where no terminator stands,
+  the text on both sides is segmented: a final word before an opening word ends a unit.
+- Thai: a space before Thai text ends a unit, whatever the words.
 
 Markers of headings, list items, questions and answers belong to what follows them.  Null and blank texts
 have no units.  Repeated rows of an id count once.
@@ -46,12 +47,15 @@ BEFORE_ORDINAL = frozenset("am im zum vom beim der die das den dem des jeder jed
 CASELESS_TITLES = frozenset("د أ م ص ش ط डॉ श्री श्रीमती प्रो पं कु".split())
 # The dictionary of the word lattices.
 PARTICLES = "と って との という といった とか と、 は が を に で も へ の から まで より など なら".split()
-FINAL = "か よ ね な ぞ さ わ だ です ます した する 吗 呢 吧 啊 了 嘛 ครับ ค่ะ คะ หรือไม่ ไหม".split()
+FINAL = "か よ ね な ぞ さ わ だ です ます した する 吗 呢 吧 啊 了 嘛".split()
+SURE = frozenset("です ます した する 吗 呢 吧 啊 嘛".split())  # final by themselves; others behind one of these
 REPORTING = "问道 说道 答道 写道 喊道 问 说 表示 指出 回答 回复 补充道 強調 尋ねた 言った 述べた 答えた 聞いた 書いた 話した 叫んだ".split()
 OPENING = "但是 不过 因此 所以 然后 此外 另外 同时 并且 如果 为什么 しかし そして また なお ただし なぜ そのため さらに".split()
+JOINING = "または なおさら".split()  # begin like opening words
 
-_DICTIONARY = {w: kind for kind, words in (("particle", PARTICLES), ("final", FINAL), ("report", REPORTING), ("opening", OPENING)) for w in words}
+_DICTIONARY = {w: kind for kind, words in (("particle", PARTICLES), ("final", FINAL), ("report", REPORTING), ("opening", OPENING), ("joining", JOINING)) for w in words}
 _LONGEST = max(map(len, _DICTIONARY))
+_OPENS = re.compile("|".join(sorted(OPENING, key=len, reverse=True)))
 
 _LINES = re.compile(r"[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 _CLOSE = "\"'”’»)]」』）】》"
@@ -209,6 +213,24 @@ def _starts_particle(rest: str) -> bool:
     return bool(words) and _DICTIONARY.get(words[0]) in ("particle", "report")
 
 
+def _bare_ends(line: str, first: int, spans: list[tuple[int, int]]) -> list[int]:
+    """Ends of units in a spaceless script that have no terminator: behind a final word before an opening word."""
+    out = []
+    for m in _OPENS.finditer(line, first):
+        lead = line[first : m.start()].rstrip()
+        clause = re.split(r"[。！？!?；]", lead)[-1]
+        if len(clause) < 4 or not _CJK.match(lead[-1]) or any(a < m.start() <= b for a, b in spans):
+            continue
+        if _DICTIONARY.get(lattice(line[m.start() : m.start() + 12])[0]) != "opening":
+            continue
+        words = [w for w in lattice(clause[-12:]) if w.strip()]
+        while words and _DICTIONARY.get(words[-1]) == "final" and words[-1] not in SURE:
+            words.pop()
+        if words and words[-1] in SURE:
+            out.append(first + len(lead))
+    return out
+
+
 def _line_units(line: str) -> list[int]:
     """Offsets in the line behind its units."""
     stop = len(line.rstrip())
@@ -229,6 +251,8 @@ def _line_units(line: str) -> list[int]:
             break
         if _ends(line, m.start(), end, spans, script == "cjk"):
             gaps.append(end)
+    if script == "cjk":
+        gaps += _bare_ends(line, first, spans)
     if "฀" <= max(line) and script == "thai":
         for m in _THAI_GAP.finditer(line, first):
             lead = line[: m.start()]

@@ -249,6 +249,23 @@ def test_units(source, want):
     assert [source[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)] == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("記録を確認しますしかし写しは未処理です。次の版", ["記録を確認します", "しかし写しは未処理です。", "次の版"]),
+        ("受付は終わりましたか なぜ札がないのですか", ["受付は終わりましたか", "なぜ札がないのですか"]),
+        ("这份记录已经核对过了吗因此需要重新提交", ["这份记录已经核对过了吗", "因此需要重新提交"]),
+        ("記録を確認するまたは削除する。いつかまた読む", ["記録を確認するまたは削除する。", "いつかまた読む"]),
+        ("「記録を見ますしかし消します」と述べた。", ["「記録を見ますしかし消します」と述べた。"]),
+        ("依存する。ななぜ抜き取る", ["依存する。", "ななぜ抜き取る"]),
+        ("他到了所以我走了。", ["他到了所以我走了。"]),
+    ],
+)
+def test_units_without_terminators(source, want):
+    ends = SE.units(source)
+    assert [source[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)] == want
+
+
 def test_units_keep_all_text(spark):
     r = random.Random(8)
     for _ in range(200):
