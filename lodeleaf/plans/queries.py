@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,6 +80,17 @@ def _examples(spark: SparkSession, d: str, n: int = 3) -> DataFrame:
     return cut(retrieve.prepared(numbered, Config(history_turns=0), None))
 
 
+def _id(c: str) -> Column:
+    """A number for a text id: the first 60 bits of its MD5."""
+    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+
+
+def _fiftieth(spark: SparkSession, d: str) -> DataFrame:
+    """The query set for searches: every chunk whose id is divisible by 50, as a query."""
+    rows = _vectors(spark, d).withColumn("query_id", _id("chunk_id")).filter("text is not null and query_id % 50 = 0")
+    return cut(retrieve.prepared(rows.select("query_id", F.col("text").alias("query"), "vec"), Config(history_turns=0), None))
+
+
 # --- SQL shared by several oracles
 
 _SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -135,9 +147,9 @@ _SCORED_SQL = f"""WITH {_C}, {_V}, {_bm25_sql("v", _EXAMPLES_SQL, "true")},
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_rank NULLS LAST, lex_rank NULLS LAST) AS rank FROM rrf)"""
 
 
-def _ranking(spark: SparkSession, d: str, config: Config | None = None) -> DataFrame:
+def _ranking(spark: SparkSession, d: str, config: Config | None = None, q: DataFrame | None = None) -> DataFrame:
     c = config or Config()
-    return retrieve.candidates(_examples(spark, d), _vectors(spark, d), c, c.top_k)
+    return retrieve.candidates(_examples(spark, d) if q is None else q, _vectors(spark, d), c, c.top_k)
 
 
 def _r(c: str):
@@ -283,14 +295,14 @@ def bm25_acl_scoped(spark, d):
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(lex, 6) AS lex, lex_rank AS rank FROM rl WHERE lex_rank <= 10")
-def bm25_topk(spark, d):
-    rows = retrieve.scored(_examples(spark, d), _vectors(spark, d))
+def bm25_topk(spark, d, q=None):
+    rows = retrieve.scored(_examples(spark, d) if q is None else q, _vectors(spark, d))
     return fusion.top(rows, "lex", "rank", 10).select("query_id", "chunk_id", _r("lex"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(vec_score, 6) AS vec_score, vec_rank AS rank FROM rv WHERE vec_rank <= 10")
-def vector_topk(spark, d):
-    rows = retrieve.scored(_examples(spark, d), _vectors(spark, d), False)
+def vector_topk(spark, d, q=None):
+    rows = retrieve.scored(_examples(spark, d) if q is None else q, _vectors(spark, d), False)
     return fusion.vector_only(rows, 10).select("query_id", "chunk_id", _r("vec_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -300,8 +312,8 @@ def vector_norms(spark, d):
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fused")
-def hybrid_rrf(spark, d):
-    return _ranking(spark, d).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
+def hybrid_rrf(spark, d, q=None):
+    return _ranking(spark, d, q=q).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _WEIGHTED = """, m AS (SELECT *, min(vec_score) OVER w AS v0, max(vec_score) OVER w AS v1, min(lex) OVER w AS l0, max(lex) OVER w AS l1 FROM pool WINDOW w AS (PARTITION BY query_id)),
@@ -309,13 +321,13 @@ _WEIGHTED = """, m AS (SELECT *, min(vec_score) OVER w AS v0, max(vec_score) OVE
 
 
 @query(_SCORED_SQL + _WEIGHTED + " SELECT query_id, chunk_id, round(ws, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY ws DESC, vec_rank NULLS LAST, lex_rank NULLS LAST) AS rank FROM s2")
-def hybrid_weighted(spark, d):
-    return _ranking(spark, d, Config(hybrid_mode="weighted")).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
+def hybrid_weighted(spark, d, q=None):
+    return _ranking(spark, d, Config(hybrid_mode="weighted"), q).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(score, 6) AS score FROM fused WHERE score >= 0.02")
-def min_score_filter(spark, d):
-    return fusion.at_least(_ranking(spark, d), 0.02).select("query_id", "chunk_id", _r("score"))
+def min_score_filter(spark, d, q=None):
+    return fusion.at_least(_ranking(spark, d, q=q), 0.02).select("query_id", "chunk_id", _r("score"))
 
 
 _MMR_POOL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -363,13 +375,13 @@ _NODES_SQL = f"""{_SCORED_SQL}, {_SECTION_SQL},
         FROM (SELECT DISTINCT query_id, doc_id FROM cand) s JOIN tree t ON t.doc_id = s.doc_id JOIN best b ON b.query_id = s.query_id AND b.section = t.path)"""
 
 
-def _candidates(spark, d) -> DataFrame:
-    return cut(_ranking(spark, d).join(_chunks(spark, d).select("chunk_id", "section", "text", "start_pos"), "chunk_id"))
+def _candidates(spark, d, q=None) -> DataFrame:
+    return cut(_ranking(spark, d, q=q).join(_chunks(spark, d).select("chunk_id", "section", "text", "start_pos"), "chunk_id"))
 
 
 @query(_NODES_SQL + " SELECT query_id, section, CAST(level AS INTEGER) AS level, round(score, 6) AS score, place FROM nodes WHERE place <= 20")
-def section_scores(spark, d):
-    nodes = sections.scores(_candidates(spark, d), _tree(spark, d))
+def section_scores(spark, d, q=None):
+    nodes = sections.scores(_candidates(spark, d, q), _tree(spark, d))
     return nodes.filter("place <= 20").select("query_id", "section", "level", _r("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -379,15 +391,15 @@ def section_scores(spark, d):
     a AS (SELECT *, max(passes::INT) OVER (PARTITION BY query_id) = 1 AND query_id IN (SELECT query_id FROM sel) AS active FROM k)
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN active THEN CASE WHEN coalesce(section, '') = '' OR place IS NULL THEN 1073741824 ELSE place END END NULLS FIRST, CASE WHEN active THEN start_pos END NULLS FIRST, rank) AS rank
     FROM a WHERE NOT active OR passes""")
-def section_filter(spark, d):
-    rows = _candidates(spark, d)
+def section_filter(spark, d, q=None):
+    rows = _candidates(spark, d, q)
     chosen = sections.first_sections(sections.scores(rows, _tree(spark, d)), 3)
     return sections.keep_selected(rows, chosen).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_NODES_SQL + " SELECT query_id, section, substr(arg_max(text, score * 1e6 - rank * 1e-3), 1, 200) AS snippet FROM cand WHERE coalesce(section, '') <> '' GROUP BY 1, 2")
-def section_snippets(spark, d):
-    return sections.snippets(_candidates(spark, d))
+def section_snippets(spark, d, q=None):
+    return sections.snippets(_candidates(spark, d, q))
 
 
 # --- answers and evaluation
@@ -401,22 +413,22 @@ _PICKED_SQL = f"""{_SCORED_SQL},
     picked AS (SELECT query_id, position, pick, sentence_no, {_strip_sql("sentence")} AS sentence, overlap FROM pk WHERE pick <= 2)"""
 
 
-def _citations(spark, d) -> DataFrame:
-    q = _examples(spark, d).select("query_id", "query")
-    top = _ranking(spark, d).filter("rank <= 3").select("query_id", F.col("rank").alias("position"), "chunk_id")
+def _citations(spark, d, block=None) -> DataFrame:
+    q = (_examples(spark, d) if block is None else block).select("query_id", "query")
+    top = _ranking(spark, d, q=block).filter("rank <= 3").select("query_id", F.col("rank").alias("position"), "chunk_id")
     return top.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(q, "query_id")
 
 
 @query(_PICKED_SQL + " SELECT query_id, position, pick, sentence_no, sentence, overlap FROM picked WHERE sentence <> ''")
-def sentence_pick(spark, d):
-    p = answer.picked_sentences(_citations(spark, d))
+def sentence_pick(spark, d, q=None):
+    p = answer.picked_sentences(_citations(spark, d, q))
     return p.select("query_id", F.col("position").cast("long").alias("position"), F.col("pick").cast("long").alias("pick"), F.col("sentence_no").cast("long").alias("sentence_no"), "sentence", F.col("overlap").cast("long").alias("overlap"))
 
 
 @query(_PICKED_SQL + """, lines AS (SELECT query_id, position, string_agg(sentence, ' ' ORDER BY pick) || ' [' || position || ']' AS line FROM picked WHERE sentence <> '' GROUP BY 1, 2)
     SELECT query_id, string_agg(line, chr(10) ORDER BY position) AS answer FROM lines GROUP BY 1""")
-def extractive_answer(spark, d):
-    return answer.extractive(_citations(spark, d))
+def extractive_answer(spark, d, q=None):
+    return answer.extractive(_citations(spark, d, q))
 
 
 @query(f"WITH {_C}, {_LATEST} SELECT chunk_id, coalesce(title, '') || '#p' || page || ':' || start_pos || '-' || end_pos || CASE WHEN coalesce(section, '') <> '' THEN ' (' || section || ')' ELSE '' END AS location FROM c JOIN latest USING (doc_id)")
@@ -569,8 +581,26 @@ def html_extract(spark, d):
 
 
 @query()
-def retrieve_full(spark, d):
+def retrieve_full(spark, d, q=None):
     """The whole pipeline: pools, fusion, sections, diversity, citations."""
-    q = _examples(spark, d).select("query_id", "query", F.col("q_vec").alias("vec"))
+    q = (_examples(spark, d) if q is None else q).select("query_id", "query", F.col("q_vec").alias("vec"))
     tree = _table(spark, d, "sections").select("doc_id", "section", F.col("depth").alias("level"), F.col("ordinal_no").alias("ordinal"), "parent").distinct()
     return retrieve.retrieve(q, _vectors(spark, d), _latest(spark, d), tree, Config(history_turns=0))[0]
+
+
+# --- the same searches with the whole query set, in blocks
+
+_FIFTIETH_SQL = "q AS (SELECT * FROM (SELECT ('0x' || substr(md5(chunk_id), 1, 15))::BIGINT AS query_id, text AS query, vec AS q_vec FROM v WHERE text IS NOT NULL) WHERE query_id % 50 = 0)"
+
+
+def _add_batch(f: Callable[..., DataFrame]) -> None:
+    def batch(spark: SparkSession, d: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [f(spark, d, q) for q in retrieve.query_blocks(_fiftieth(spark, d))])
+
+    QUERIES[f"{f.__name__}_batch"] = batch
+    if f.__name__ in ORACLE:
+        ORACLE[f"{f.__name__}_batch"] = ORACLE[f.__name__].replace(_EXAMPLES_SQL, _FIFTIETH_SQL)
+
+
+for _f in (bm25_topk, vector_topk, hybrid_rrf, hybrid_weighted, min_score_filter, section_scores, section_filter, section_snippets, sentence_pick, extractive_answer, retrieve_full):
+    _add_batch(_f)

@@ -5,7 +5,7 @@ from lodeleaf.config import Config
 from lodeleaf.functions.embedding import tokens_of
 from lodeleaf.operators import evaluate, fusion, mmr, sections
 from lodeleaf.operators.filters import visible, visible_to
-from lodeleaf.plans import retrieve
+from lodeleaf.plans import queries as Q, retrieve
 from pyspark.sql import functions as F
 
 CHUNKS = "chunk_id string, doc_id string, seq int, text string, acl string, tags array<string>, vec array<double>"
@@ -113,3 +113,24 @@ def test_evaluation(spark):
     assert {r.query_id: r.first_rank for r in ranks.collect()} == {1: 2, 2: None, 3: None}
     assert tuple(evaluate.summary(ranks, 3).first()) == (3, 0.3333, 0.1667)
     assert tuple(evaluate.summary(ranks.limit(0), 3).first()) == (0, 0.0, 0.0)
+
+
+def test_batch_searches_take_every_id_divisible_by_50(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    rows = [(f"d{i % 40}:{i}", f"d{i % 40}", i, f"text {i} word{i % 7}", "hashing", 8, rng.normal(size=8).tolist(), "public", ["a"]) for i in range(600)]
+    ddl = "chunk_id string, doc_id string, seq int, text string, embedder string, dim int, vec array<double>, acl string, tags array<string>"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "chunks.parquet"))
+    number = {r[0]: int(hashlib.md5(r[0].encode()).hexdigest()[:15], 16) for r in rows}
+    queries = [r for r in rows if number[r[0]] % 50 == 0]
+    assert len(queries) > 5
+    blocks = retrieve.query_blocks
+    monkeypatch.setattr(retrieve, "query_blocks", lambda q: blocks(q, 4))
+    want = {}
+    for q in queries:
+        best = sorted(rows, key=lambda r: (-float(np.dot(r[6], q[6])), r[1], r[2]))[:10]
+        want[number[q[0]]] = [r[0] for r in best]
+    got = Q.QUERIES["vector_topk_batch"](spark, str(tmp_path)).collect()
+    assert {k: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == k] for k in {r.query_id for r in got}} == want
+    assert {r.query_id for r in Q.QUERIES["bm25_topk_batch"](spark, str(tmp_path)).collect()} == set(want)
