@@ -385,6 +385,13 @@ def section_scores(spark, d, q=None):
     return nodes.filter("place <= 20").select("query_id", "section", "level", _r("score"), F.col("place").cast("long").alias("place"))
 
 
+@query(_NODES_SQL + " SELECT query_id, section, CAST(level AS INTEGER) AS level, round(score, 6) AS score, place FROM nodes")
+def section_scores_all(spark, d, q=None):
+    """Every scored section, as sections.scores gives them."""
+    nodes = sections.scores(_candidates(spark, d, q), _tree(spark, d))
+    return nodes.select("query_id", "section", "level", _r("score"), F.col("place").cast("long").alias("place"))
+
+
 @query(_NODES_SQL + """, sel AS (SELECT query_id, section, place FROM nodes WHERE place <= 3),
     m AS (SELECT c.query_id, c.chunk_id, c.rank, c.start_pos, c.section, min(s.place) AS place FROM cand c LEFT JOIN sel s ON s.query_id = c.query_id AND (c.section = s.section OR starts_with(c.section, s.section || ' > ')) GROUP BY ALL),
     k AS (SELECT *, coalesce(section, '') = '' OR place IS NOT NULL AS passes FROM m),
@@ -491,6 +498,16 @@ def docs_listing(spark, d):
     return page.withColumn("place", F.row_number().over(W.orderBy(F.desc("updated_at"), "doc_id")).cast("long")).drop("updated_at")
 
 
+@query(f"WITH {_LATEST} SELECT doc_id, title, array_to_string(list_sort(list_distinct(coalesce(tags, []))), ',') AS tags, row_number() OVER (ORDER BY updated_at DESC, doc_id) AS place FROM latest")
+def docs_listing_all(spark, d):
+    """The whole listing; places are counted within days, behind the documents of all later days."""
+    rows = _latest(spark, d).select("doc_id", "title", F.array_join(filters.tag_set(F.col("tags")), ",").alias("tags"), "updated_at", F.to_date("updated_at").alias("day"))
+    later = W.orderBy(F.desc_nulls_last("day")).rowsBetween(W.unboundedPreceding, -1)
+    days = rows.groupBy("day").agg(F.count("*").alias("n")).select(F.col("day").alias("of"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    placed = rows.withColumn("k", F.row_number().over(W.partitionBy("day").orderBy(F.desc("updated_at"), "doc_id")))
+    return placed.join(days, F.col("day").eqNullSafe(F.col("of"))).select("doc_id", "title", "tags", (F.col("before") + F.col("k")).alias("place"))
+
+
 @query(f"WITH {_C}, {_LATEST} SELECT (SELECT count(*) FROM latest) AS documents, (SELECT count(*) FROM c) AS chunks")
 def store_stats(spark, d):
     docs = _latest(spark, d).agg(F.count("*").alias("documents"))
@@ -602,5 +619,5 @@ def _add_batch(f: Callable[..., DataFrame]) -> None:
         ORACLE[f"{f.__name__}_batch"] = ORACLE[f.__name__].replace(_EXAMPLES_SQL, _FIFTIETH_SQL)
 
 
-for _f in (bm25_topk, vector_topk, hybrid_rrf, hybrid_weighted, min_score_filter, section_scores, section_filter, section_snippets, sentence_pick, extractive_answer, retrieve_full):
+for _f in (bm25_topk, vector_topk, hybrid_rrf, hybrid_weighted, min_score_filter, section_scores_all, section_filter, section_snippets, sentence_pick, extractive_answer, retrieve_full):
     _add_batch(_f)

@@ -134,3 +134,22 @@ def test_batch_searches_take_every_id_divisible_by_50(spark, tmp_path, monkeypat
     got = Q.QUERIES["vector_topk_batch"](spark, str(tmp_path)).collect()
     assert {k: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == k] for k in {r.query_id for r in got}} == want
     assert {r.query_id for r in Q.QUERIES["bm25_topk_batch"](spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_docs_listing_all_has_every_document(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(f"d{i:03d}", f"t{i}", None, ["b", "a"], dt.datetime(2024, 1, 1 + i % 9, i % 5)) for i in range(260)]
+    spark.createDataFrame(rows, "doc_id string, title string, source_hash string, tags array<string>, updated_at timestamp").write.parquet(str(tmp_path / "kb_documents.parquet"))
+    got = sorted(Q.QUERIES["docs_listing_all"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert [r.doc_id for r in got] == [r[0] for r in sorted(rows, key=lambda r: (-r[4].timestamp(), r[0]))]
+    assert [r.place for r in got] == list(range(1, 261)) and got[0].tags == "a,b"
+
+
+def test_section_scores_all_keeps_places_beyond_20(spark, monkeypatch):
+    ranked = spark.createDataFrame([(1, f"c{i}", "d", f"S{i:02d}", 1.0 - i / 100) for i in range(30)], "query_id long, chunk_id string, doc_id string, section string, score double")
+    tree = spark.createDataFrame([("d", f"S{i:02d}", 1, i, None) for i in range(30)], "id string, section string, level int, ordinal int, parent string")
+    monkeypatch.setattr(Q, "_candidates", lambda *a: ranked)
+    monkeypatch.setattr(Q, "_tree", lambda *a: tree)
+    got = Q.QUERIES["section_scores_all"](spark, "").collect()
+    assert {(r.section, r.place) for r in got} == {(f"S{i:02d}", i + 1) for i in range(30)}
