@@ -346,17 +346,123 @@ def test_boosting():
     assert np.mean((m.probability(x[1000:]) >= m.threshold) == (y[1000:] == 1)) > 0.93
 
 
-def test_redaction_on_held_out_paragraphs(spark):
+# Sentences that are in no training template.
+HELD_OUT = [
+    'The plumber {P} lost a {w}.',
+    '{P} plays chess with {P}.',
+    'Only {P} knew the way.',
+    'Last week {P} of {C} won a medal.',
+    'Ms {S} grows roses.',
+    'Cheers,\n{G}',
+    'Cook: {P}',
+    'Singer {P} and drummer {P} toured.',
+    'We owe {P} a favour.',
+    'Where is {P} now?',
+    '{P} - {N}',
+    '{E} is my inbox.',
+    'Phone {N} after six.',
+    'She rents {A}.',
+    'Social security no. {I}',
+    'Der Bäcker {P} backt Brot.',
+    'Heute feiert {P} Geburtstag.',
+    'Herr {S} schläft.',
+    'Tschüss, {G}',
+    'Nur {P} kennt den Weg.',
+    'Erreichbar unter {N}.',
+    'Ausweis {I}',
+    'Sein Haus: {A}',
+    'Le boulanger {P} dort.',
+    'Demain {P} fêtera Noël.',
+    'Mme {S} dort.',
+    'Seul {P} sait.',
+    'Joignable au {N}.',
+    'Elle loue {A}.',
+    'El panadero {P} duerme.',
+    'Mañana {P} cumple años.',
+    'La Sra. {S} duerme.',
+    'Solo {P} sabe.',
+    'Llámame al {N}.',
+    'Alquila {A}.',
+    '面包师{Z}在睡觉。',
+    '明天{Z}过生日。',
+    '{Z}女士喜欢猫。',
+    '只有{Z}知道。',
+    '厨师：{Z}',
+    '打{N}找我。',
+    '她租了{ZA}。',
+    'パン屋の{J}さんは眠い。',
+    '明日は{J}の誕生日。',
+    '{J}様へ',
+    '料理人：{J}',
+    '{N}に電話する。',
+    'बेकर {H} सो रहे हैं।',
+    'कल {H} का जन्मदिन है।',
+    'الخباز {B} نائم.',
+    'غدا عيد ميلاد {B}.',
+    'คุณ{K}กำลังนอน',
+    'วันเกิดของ {K}',
+    'Bake the {w} for {num} minutes.',
+    '{T} sells tickets in {C}.',
+    'Batch {build} is ready.',
+    'Parcel no. {long}',
+    'Der {W} riecht nach der {W}.',
+    'Le {w} sent bon.',
+    'El {w} huele bien.',
+    '面包很香，程序不难。',
+    'パンの香りがする。',
+    'The Winter Market closes Sunday.',
+    'Das Neue Museum liegt an der Spree.',
+]
+
+
+def test_redaction_on_held_out_sentences(spark):
     trained = pii.models()
-    data = pii_training.make(150, seed=77)
+    assert not set(HELD_OUT) & set(pii_training.TEMPLATES)
+    data = pii_training.make(300, seed=77, templates=HELD_OUT)
     found = pii.find([t for t, _ in data], trained)
     for kind in pii.KINDS:
         want = {(i, a, b) for i, (_, m) in enumerate(data) for k, a, b in m if k == kind}
         got = {(i, a, b) for i, own in enumerate(found) for k, a, b in own if pii.KINDS[k] == kind}
-        assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.95 * len(got), kind
+        least = 0.8 if kind == "person" else 0.92
+        assert len(want & got) >= least * len(want) and len(want & got) >= least * len(got), kind
     t = "Ask Clara Stonebach (clara(at)mail.test) or call +44 20 7946 0991, order 46719201423."
-    df = spark.createDataFrame([(1, t), (1, t), (2, None), (3, "")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, t), (1, t), (2, None), (3, ""), (None, t)], "doc_id long, text string").withColumn("kind", F.lit("x"))
     rows = pii.mentions(df).collect()
     assert {(r.kind, t[r.start_pos : r.end_pos]) for r in rows} == {("person", "Clara Stonebach"), ("email", "clara(at)mail.test"), ("phone", "+44 20 7946 0991")} and len(rows) == 3
-    out = {(r.doc_id, r.text) for r in pii.redacted(df).collect()}
+    out = {(r.doc_id, r.text) for r in pii.redacted(df.filter("doc_id is not null")).collect()}
     assert out == {(1, "Ask [PERSON] ([EMAIL]) or call [PHONE], order 46719201423."), (2, None), (3, "")}
+    assert pii.mentions(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "names"),
+    [
+        ("The parcel was returned because Helen Whitfield had moved house.", ["Helen Whitfield"]),
+        ("Der Mieter Karl Lindqvist zog aus.", ["Karl Lindqvist"]),
+        ("Notre cliente Sophie Marchand demeure ici.", ["Sophie Marchand"]),
+        ("La señora Carmen Ortega Ruiz firmó.", ["Carmen Ortega Ruiz"]),
+        ("会议由李明主持，王芳记录。", ["李明", "王芳"]),
+        ("田中太郎さんが来た。", ["田中太郎"]),
+        ("अनिल शर्मा ने फ़ाइल भेजी।", ["अनिल शर्मा"]),
+        ("أرسل أحمد المصري الملف.", ["أحمد المصري"]),
+        ("คุณสมชาย ใจดี มาแล้ว", ["สมชาย ใจดี"]),
+    ],
+)
+def test_names_in_ordinary_sentences(source, names):
+    (found,) = pii.find([source], pii.models())
+    assert [source[a:b] for k, a, b in found if k == 0] == names
+
+
+@pytest.mark.parametrize("source", [" ".join(["ANNA BROWN"] * 40), "Witnesses: Maria Gomez Lopez Carlos Ruiz Santos Pedro Vega signed it."])
+def test_long_runs_of_names_are_redacted(source):
+    (found,) = pii.find([source], pii.models())
+    left = pii.redact(source, found)
+    assert not any(w in left for w in ("ANNA", "BROWN", "Maria", "Gomez", "Lopez", "Carlos", "Ruiz", "Santos", "Pedro", "Vega"))
+
+
+def test_no_window_cuts_a_mention():
+    local = "a" * 300
+    street = "12 " + "Very" + "long" * 60 + " Street, Kirkwell"
+    text = f"Write to {local}@{'b' * 200}.example today. We live at {street}."
+    (found,) = pii.find([text], pii.models())
+    assert {text[a:b] for _, a, b in found} >= {f"{local}@{'b' * 200}.example"} and any((4, 0, text.index("12 Very"), text.index("Kirkwell") + 8) == c for c in pii.candidates(text))
