@@ -20,13 +20,22 @@ class Boosted:
     threshold: float = 0.5
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for f, c, leaf in zip(self.features, self.cuts, self.leaves, strict=True):
-            at = np.zeros(len(x), dtype=np.int64)
+        if not self.features:
+            return np.full(len(x), self.base)
+        # all trees of a node's level at once: places in the flattened arrays of nodes and leaves
+        n, nodes, ends = len(self.features), 2**LEVELS - 1, 2**LEVELS
+        f, c, leaf = np.concatenate(self.features), np.concatenate(self.cuts).astype(np.float32), np.concatenate(self.leaves)
+        out = np.empty(len(x))
+        x = np.ascontiguousarray(x, dtype=np.float32)
+        for a in range(0, len(x), 512):
+            part = x[a : a + 512]
+            flat, rows = part.ravel(), (np.arange(len(part)) * x.shape[1])[:, None]
+            at = np.zeros((len(part), n), dtype=np.int64)
+            first = np.arange(n) * nodes
             for _ in range(LEVELS):
-                at = 2 * at + 1 + (x[rows, f[at]] > c[at])
-            out += leaf[at - (2**LEVELS - 1)]
+                k = at + first
+                at = 2 * at + 1 + (flat[rows + f[k]] > c[k])
+            out[a : a + 512] = self.base + leaf[at - nodes + np.arange(n) * ends].sum(axis=1)
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -45,14 +54,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.25, smo
     cuts = [(j, v) for j in range(x.shape[1]) for v in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)))[:-1]]
     if not cuts:
         return model
-    which, values = np.array([j for j, _ in cuts]), np.array([v for _, v in cuts])
+    which, values = np.array([j for j, _ in cuts]), np.array([v for _, v in cuts], dtype=np.float32)
     over = (x[:, which] > values).astype(np.float32)
     score = np.full(len(x), model.base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         g, h = hits - times * p, times * p * (1 - p)
         nodes = 2**LEVELS - 1
-        features, bounds = np.zeros(nodes, dtype=np.int64), np.full(nodes, np.inf)
+        features, bounds = np.zeros(nodes, dtype=np.int64), np.full(nodes, np.inf, dtype=np.float32)
         at = np.zeros(len(x), dtype=np.int64)
         for level in range(LEVELS):
             first, n = 2**level - 1, 2**level

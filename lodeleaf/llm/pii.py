@@ -42,7 +42,12 @@ _FOLD = str.maketrans("０１２３４５６７８９＋－（）＠．／‐‑
 _FOLDED = re.compile("[０-９＋－（）＠．／‐‑–−\u00a0\u2009\u202f\u3000]")
 
 _UP, _LOW = "A-ZÀ-ÖØ-ÞŠŽ", "a-zà-öø-ÿšž"
-_NAME_TOKEN = re.compile(rf"(?<![\w@.+\-/])(?:(?P<part>(?:von|van|de|del|della|di|da|zu)(?= [{_UP}]))|(?P<initial>[{_UP}]\.)(?=[ \t]?[{_UP}]|[ \t,;|/<(]|$)|(?P<word>(?:[ODL]['’]|Mc|Mac)?[{_UP}](?:[{_LOW}]+|[{_UP}]{{2,}})(?:['’\-](?:[{_UP}][{_LOW}]+|[{_UP}]{{2,}}))*)(?![\w@+]|[._\-][a-z0-9]|\(at\)))", re.M)
+# It begins with a class of characters, which the regular expression engine skips to; what may not stand before it comes behind.
+_NAME_TOKEN = re.compile(
+    rf"[{_UP}vdz](?<![\w@.+\-/].)(?:(?P<part>(?:(?<=v)[oa]n|(?<=d)(?:el|ella|e|i|a)|(?<=z)u)(?= [{_UP}]))|(?<=[{_UP}])(?:(?P<initial>\.)(?=[ \t]?[{_UP}]|[ \t,;|/<(]|$)"
+    rf"|(?P<word>(?:(?<=[ODL])['’][{_UP}]|(?<=M)a?c[{_UP}])?(?:[{_LOW}]+|[{_UP}]{{2,}})(?:['’\-](?:[{_UP}][{_LOW}]+|[{_UP}]{{2,}}))*)(?![\w@+]|[._\-][a-z0-9]|\(at\))))",
+    re.M,
+)
 _EMAIL = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_.+\-@])[A-Za-zÀ-ÿ0-9_][A-Za-zÀ-ÿ0-9_.+\-]*(?:\s?[@＠]\s?|\s?[\[({]\s?(?:at|AT|At|a|arroba|ät)\s?[\])}]\s?)(?:[A-Za-zÀ-ÿ0-9\-]+(?:\s?[\[({]\s?(?:dot|DOT|Dot|punto|punkt|point)\s?[\])}]\s?|[.．]))+[A-Za-zÀ-ÿ]{2,}(?![A-Za-zÀ-ÿ0-9_@])")
 _EMAIL_WORDS = re.compile(r"(?<![\w.+\-@])[a-z][\w.+\-]* (?:at|AT) [\w\-]+(?: (?:dot|DOT) [\w\-]+)+(?![A-Za-zÀ-ÿ0-9_])")
 _PHONES = [
@@ -115,14 +120,13 @@ def _name_runs(text: str) -> list[list[tuple[int, int, str]]]:
 
 
 def _before(text: str, a: int) -> tuple[str, str]:
-    """The word before a place, and what lies between them."""
-    low = a
-    while low and text[low - 1] in " \t":
-        low -= 1
-    start = low
-    while start and low - start < 24 and not text[start - 1].isspace():
-        start -= 1
-    return text[start:low], text[low:a]
+    """The word before a place, as far as 24 code points, and what lies between them."""
+    part = text[max(0, a - 28) : a]
+    bare = part.rstrip(" \t")
+    gap = part[len(bare) :]
+    if not bare or bare[-1].isspace():
+        return "", gap
+    return bare.split()[-1][-24:], gap
 
 
 def _single(text: str, a: int, b: int) -> bool:
@@ -223,22 +227,23 @@ for _s in L.JA_SURNAMES:
 
 def _spaced_persons(text: str, name: str, names: frozenset[str], before: frozenset[str]) -> list[tuple[int, int]]:
     """Stretches of up to three words that hold a common name or follow an honorific."""
-    out, words = [], [m for m in _WORDS_OF[name].finditer(text)]
-    for i, m in enumerate(words):
-        if m.group() in before:
+    out, words = [], [(m.start(), m.end(), m.group()) for m in _WORDS_OF[name].finditer(text)]
+    known = [_bare(w) in names for *_, w in words]
+    led = [False] + [w in before and text[e] == " " for (_, e, w) in words[:-1]]
+    starts = {i for k in range(len(words)) if known[k] for i in range(max(0, k - 2), k + 1)} | {k for k in range(len(words)) if led[k]}
+    for i in sorted(starts):
+        if words[i][2] in before:
             continue
-        led = i > 0 and words[i - 1].group() in before and text[words[i - 1].end() : m.start()] == " "
-        known = False
+        holds = led[i]
         for j in range(i, min(len(words), i + 3)):
-            if j > i and text[words[j - 1].end() : words[j].start()] != " ":
+            a, b, w = words[j]
+            if j > i and text[words[j - 1][1] : a] != " " or w in before:
                 break
-            if words[j].group() in before:
-                break
-            known = known or _bare(words[j].group()) in names
-            if led or known:
-                b = words[j].end() - (words[j].group().endswith((".", "।", "،", "؟", "؛")))
-                out.append((m.start(), b))
-            if words[j].group().endswith((".", "।", "،")):
+            holds = holds or known[j]
+            ended = w.endswith((".", "।", "،", "؟", "؛"))
+            if holds:
+                out.append((words[i][0], b - ended))
+            if ended:
                 break
     return out
 
@@ -296,7 +301,7 @@ _ADDRESS_SIGNS = [
     re.compile(r"〒"),
     re.compile(r"市[^\n]{0,40}?号"),
 ]
-_ADDRESS_HINTS = [(), ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "ring", "ufer", "damm", "steig", "hof", "stieg", "chaussee", "Straße", "Strasse", "Str.", "Allee", "Weg", "Platz", "Ring", "Damm", "Am ", "An de", "Auf de", "Im ", "In der ", "Zum ", "Zur ", "Unter den ", "Hinter der "), (), ("Calle", "C/", "Avda.", "Av.", "Avenida", "Plaza", "Pza.", "Paseo", "P.º", "Camino", "Ronda", "Travesía", "Carretera", "Ctra."), (), (), ()]
+_ADDRESS_HINTS = [(), ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "ring", "ufer", "damm", "steig", "hof", "stieg", "chaussee", "Straße", "Strasse", "Str.", "Allee", "Weg", "Platz", "Ring", "Damm", "Am ", "An de", "Auf de", "Im ", "In der ", "Zum ", "Zur ", "Unter den ", "Hinter der "), (), ("Calle", "C/", "Avda.", "Av.", "Avenida", "Plaza", "Pza.", "Paseo", "P.º", "Camino", "Ronda", "Travesía", "Carretera", "Ctra."), ("県", "府", "都", "道"), ("〒",), ("号",)]
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
@@ -698,7 +703,7 @@ def mentions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     trained = models()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.rechunk(batches, 128):
+        for batch in C.rechunk(batches, 512):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = [(i, KINDS[k], a, b) for i, own in zip(ids, find(texts, trained), strict=True) if i is not None for k, a, b in own]
             yield C.batch_of(_FOUND, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 4))
@@ -711,7 +716,7 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     trained = models()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.rechunk(batches, 128):
+        for batch in C.rechunk(batches, 512):
             texts = batch.column(1).to_pylist()
             found = find([t or "" for t in texts], trained)
             new = [None if t is None else redact(t, own) for t, own in zip(texts, found, strict=True)]
