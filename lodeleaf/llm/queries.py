@@ -47,11 +47,17 @@ def _history(spark: SparkSession, d: str) -> H.History:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     batch = C.table(spark, d, "incoming").select("batch_no", "item_id", "text", "source_hash")
     known = H.known_hashes(C.table(spark, d, "kb_documents"), batch)
-    return _history(spark, d).duplicates(batch).union(known).distinct()
+    history = _history(spark, d)
+    found = C.cut(history.duplicates(batch).union(known).distinct())
+    history.drop()
+    return found
 
 
 def p3_new(spark: SparkSession, d: str) -> DataFrame:
-    return H.new_items(_history(spark, d), C.table(spark, d, "kb_documents"), C.table(spark, d, "incoming"))
+    history = _history(spark, d)
+    new = C.cut(H.new_items(history, C.table(spark, d, "kb_documents"), C.table(spark, d, "incoming")))
+    history.drop()
+    return new
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

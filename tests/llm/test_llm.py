@@ -155,13 +155,30 @@ def test_history_finds_a_family_of_variants(spark, tmp_path):
     assert {x[0] for x in h.duplicates(batch).collect()} == set(range(150))
 
 
-def test_bitmaps_leave_out_no_pair_that_is_alike():
-    r = random.Random(7)
-    texts = [C.normalise("中文" * 150 + text(20, r)), "a" * 300] + [edited(t, k, r) for t in (text(60, r), text(40, r), text(700, r)) for k in (0, 2, 5, 9, 14, 30)]
-    bits, most = H.bitmaps(texts), np.array([len(t) - 8 for t in texts])
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        may = H.may_be_alike(bits[[i]], bits[[j]], most[[i]], most[[j]])[0]
-        assert may or not alike(texts[i], texts[j])
+def test_history_with_hot_pieces(spark, tmp_path, monkeypatch):
+    """Most records share most of their text: both rounds, against brute force; and one batch after another."""
+    monkeypatch.setattr(H, "RARE", 4)
+    monkeypatch.setattr(H, "SAMPLED", 2)
+    r = random.Random(12)
+    common = text(30, r)
+    old = [f"{common} {text(8 + k % 30, r)}" for k in range(60)] + [edited(common, k % 5, r) for k in range(60)]
+    fresh = [(i, 1 + i // 10, t) for i, t in enumerate([edited(old[3], 2, r), f"{common} {text(25, r)}", edited(common, 3, r), text(50, r), edited(old[77], 6, r), *(f"{text(9, r)} {common}" for _ in range(6)), *(text(45, r) for _ in range(5))])]
+    fresh += [(50 + i, 3, edited(t, 2, r)) for i, _, t in fresh]
+    want, seen = set(), list(old)
+    for i, _, t in fresh:
+        if any(alike(t, s) for s in seen):
+            want.add(i)
+        seen.append(t)
+    batch = spark.createDataFrame(fresh, "item_id long, batch_no int, text string").withColumn("source_hash", F.lit(None).cast("string"))
+    h = H.History(spark, str(tmp_path / "h"), 4)
+    h.append(spark.createDataFrame([(t,) for t in old], "text string"))
+    assert {x[0] for x in h.duplicates(batch).collect()} == want
+    registry = spark.createDataFrame([], "source_hash string")
+    new = [x.item_id for b in (1, 2, 3) for x in h.accept(registry, batch.filter(F.col("batch_no") == b)).collect()]
+    assert len(new) == len(set(new)) and not {i for i in want if i < 50} & {i for i in new if i < 50} and set(new) >= set(range(66)) - want - set(range(16, 50))
+    assert h.accept(registry, batch).count() == 0
+    h.drop()
+    assert not (tmp_path / "h").exists()
 
 
 def test_hashes(spark):
