@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from pathlib import Path
 
@@ -28,3 +29,10 @@ def spread(df: DataFrame) -> DataFrame:
     """At least as many partitions as there are cores, for costly work on a few small files; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results are written: Spark deletes them when the driver's memory
+    is collected, which may be long after a step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
