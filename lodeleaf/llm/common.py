@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from lodeleaf.sources.lineage import checkpoint_dir, cut, spread  # noqa: F401
+from lodeleaf.sources.lineage import checkpoint_dir, cut, release, spread  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 GRAM = 9  # code points of a shingle in the measure of TESTDATA.md
