@@ -3,14 +3,16 @@
 Vectors are compared within one embedder and dimension.  Centroids are trained on a bounded sample
 (``SAMPLE`` vectors of a group) and kept balanced; every vector is then put into up to ``COPIES`` lists: the
 nearest one and further ones that a distance ratio admits, so that boundary vectors stand in several.
-Lists are found by a beam search over a graph of the centroids that each task holds in memory.  A list that
-the sample shows to be longer than ``CELL`` is cut to blocks, and pairs of blocks are separate work.  Equal
-vectors are one class, of which the k + 1 smallest ids are enough for any answer, so that a hot group of
-copies is one row.
+Lists are found by a beam search over a graph of the centroids that each task holds in memory.
 
-What is sent is 16 bits for each number, which leaves an error of about 1e-5 in a cosine.  Measured against
-brute force: 99.8 % of the pairs of at least 0.8 with the settings below (22,411 vectors); 98 % of the five nearest
-of all with lists of 3,000 and six copies, 83 % with the settings below (221,774 vectors).
+The number of lists grows with the vectors, so that a list has ``LIST`` of them before copies: up to ``MOST_LISTS``
+lists directly, and beyond that (some three million vectors) by a second level.  A list that the sample shows
+to be longer than ``CELL``, whether there are too many vectors or too many in one place, gets centroids of its own,
+trained on a bounded sample of it in its task, and its vectors are placed again, in ``COPIES_BELOW`` lists each;
+the work on a list is spread over tasks.  Each list is one task's piece of work, in blocks of rows.
+
+Equal vectors are one class, of which the k + 1 smallest ids are enough for any answer, so that a hot group of
+copies is one row.  What is sent is 16 bits for each number, which leaves an error of about 1e-5 in a cosine.
 
 Null ids, vectors that are null, of another size than ``dim``, not finite or all zero take no part.  Repeated
 rows of an id count once for each different vector.  Ties go to the smaller id.
@@ -28,13 +30,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LIST, CELL = 1500, 6000  # vectors aimed at for a list before copies; most in one block of a list
-COPIES, RATIO = 3, 1.35  # lists of a vector; how far beyond the nearest, as a ratio of distances
-SAMPLE, ROUNDS, MOST_LISTS = 20_000, 8, 16_384
-DEGREE, BEAM, ENTRIES = 12, 8, 32
+LIST, CELL = 1500, 18_000  # vectors aimed at for a list before copies; in a list with copies, from which it is divided
+COPIES, COPIES_BELOW, RATIO = 4, 2, 1.35  # lists of a vector, also of a list that is divided; how far beyond the nearest, as a ratio of distances
+SAMPLE, ROUNDS, MOST_LISTS = 32_768, 8, 2048
+DEGREE, BEAM, ENTRIES = 24, 12, 32
+SPREAD = 500_000  # vectors of a list that is divided for each task
 
 _PACKED = pa.schema([("id", pa.string()), ("embedder", pa.string()), ("dim", pa.int32()), ("fp", pa.int64()), ("packed", pa.binary())])
-_PLACED = pa.schema([("cell", pa.int64()), ("side", pa.int8()), ("fp", pa.int64()), ("packed", pa.binary())])
+_PLACED = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("packed", pa.binary())])
+_PLACED_DDL = "cell long, fp long, packed binary"
 _NEAR = pa.schema([("fp", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -150,12 +154,7 @@ def lists_of(graph: CentroidGraph, x: np.ndarray, copies: int = COPIES) -> tuple
     return row, ids[row, column]
 
 
-def _cells(n_blocks: np.ndarray) -> np.ndarray:
-    """The first cell number of each list; a list of b blocks has b * b."""
-    return np.r_[0, np.cumsum(n_blocks**2)]
-
-
-def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]], copies: int):
+def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray]], copies: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graphs = {}
         seen: set[int] = set()
@@ -168,87 +167,130 @@ def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]], co
             names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for name in sorted(set(names) & set(groups)):
                 part = batch.filter(pa.array([n == name for n in names]))
-                base, centroids, blocks = groups[name]
+                base, centroids = groups[name]
                 if name not in graphs:
                     graphs[name] = CentroidGraph(centroids)
-                fp = part.column(3).to_numpy()
-                packed = part.column(4).to_pylist()
-                row, which = lists_of(graphs[name], unpack(packed, name[1]), copies)
-                first, b = _cells(blocks)[which] + base, blocks[which]
-                own = (C.mix(fp[row].view(np.uint64).copy()) % b.astype(np.uint64)).astype(np.int64)
-                # a row of block o meets the blocks after it as the left side, those before it as the right one
-                out_row = np.repeat(np.arange(len(row)), b)
-                other = np.arange(len(out_row)) - np.repeat(np.cumsum(b) - b, b)
-                o, f, n = own[out_row], first[out_row], b[out_row]
-                cell = f + np.minimum(o, other) * n + np.maximum(o, other)
-                side = np.where(o == other, 0, np.where(o < other, 1, 2))
-                at = row[out_row]
-                yield C.batch_of(_PLACED, cell, side.astype(np.int8), fp[at], part.column(4).take(pa.array(at)))
+                row, which = lists_of(graphs[name], unpack(part.column(4).to_pylist(), name[1]), copies)
+                yield C.batch_of(_PLACED, which + base, part.column(3).take(pa.array(row)), part.column(4).take(pa.array(row)))
 
     return place
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Of sorted rows, those of each first column."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if held and keys[a] != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _kth(sim: np.ndarray, k: int) -> np.ndarray:
+    """Of each row a bound that at least k of its values reach; for long rows the k-th of the greatest of 16 each."""
+    if sim.shape[1] <= 32 * k or sim.shape[1] % 16:
+        return np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+    top = sim.reshape(len(sim), 16, -1).max(axis=1)
+    return np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k]
+
+
 def _nearest(k: int, least: float):
-    def rank(sim: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Of each row, its k best columns of at least the least similarity; ties beyond the k-th stay in."""
-        if sim.shape[1] > k:
-            bound = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] if least <= -1 else np.full(len(sim), least)
-            if least > -1:
-                busy = np.flatnonzero((sim >= least).sum(axis=1) > k)
-                if len(busy):
-                    bound[busy] = np.partition(sim[busy], sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
-            x, y = np.nonzero(sim >= np.maximum(bound, least)[:, None])
-        else:
-            x, y = np.nonzero(sim >= least)
+    def rank(sim: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        """Of each row, its k best columns of at least the least similarity; ties with the k-th stay in."""
+        bound = np.full(len(sim), max(least, -2.0), dtype=np.float32)
+        busy = np.flatnonzero((sim >= least).sum(axis=1) > k) if least > -1 else np.arange(len(sim))
+        if len(busy) and sim.shape[1] > k:
+            bound[busy] = np.maximum(bound[busy], _kth(sim[busy], k))
+        x, y = np.nonzero(sim >= bound[:, None])
         s = sim[x, y]
-        own = s > -2
-        if own.any():
-            yield C.batch_of(_NEAR, left[x[own]], right[y[own]], s[own].astype(np.float64))
-
-    def work(side: np.ndarray, fp: np.ndarray, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
-        _, first = np.unique(fp, return_index=True)
-        x = unpack([packed[i] for i in first], (len(packed[0]) - 4) // 2)
-        side, fp = side[first], fp[first]
-        if (side == 0).all():
-            for a in range(0, len(fp), 1024):
-                sim = x[a : a + 1024] @ x.T
-                sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -3
-                yield from rank(sim, fp[a : a + 1024], fp)
-        else:
-            one, two = side == 1, side == 2
-            for l, r in ((one, two), (two, one)):
-                for a in range(0, int(l.sum()), 1024) if r.any() else ():
-                    yield from rank(x[l][a : a + 1024] @ x[r].T, fp[l][a : a + 1024], fp[r])
+        order = np.lexsort((-s, x))
+        x, y, s = x[order], y[order], s[order]
+        first = np.searchsorted(x, np.arange(len(sim)))
+        last = s[np.minimum(first[x] + k - 1, len(s) - 1)]
+        kept = (np.arange(len(x)) - first[x] < k) | (s == last)
+        return C.batch_of(_NEAR, left[x[kept]], right[y[kept]], s[kept].astype(np.float64))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            yield from work(t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist())
-
-        for batch in batches:
-            cells = batch.column(0).to_numpy()
-            edges = np.r_[0, np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(cells)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if cells[a] != current and held:
-                    yield from flush()
-                    held = []
-                current = cells[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from flush()
+        for t in _runs(batches):
+            fp, first = np.unique(t.column(1).to_numpy(), return_index=True)
+            packed = t.column(2).combine_chunks().take(pa.array(first)).to_pylist()
+            m, more = len(fp), -len(fp) % 16
+            x = unpack(packed, (len(packed[0]) - 4) // 2)
+            x = np.concatenate((x, np.zeros((more, x.shape[1]), dtype=x.dtype)))
+            step = max(16, min(1024, 8_000_000 // len(x)))
+            for a in range(0, m, step):
+                sim = x[a : min(m, a + step)] @ x.T
+                sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -3
+                sim[:, m:] = -3
+                yield rank(sim, fp[a : a + step], np.r_[fp, np.zeros(more, np.int64)])
 
     return near
 
 
+def _train_lists(n_lists: dict[int, int]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sampled vectors of each list to its centroids."""
+        for t in _runs(batches):
+            cell, packed = t.column(0)[0].as_py(), sorted(set(t.column(2).to_pylist()))
+            x = unpack(packed, (len(packed[0]) - 4) // 2)
+            centroids = train(x, max(1, min(n_lists[cell], len(x) // 4)))
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([centroids.tobytes()], pa.binary())], names=["cell", "packed"])
+
+    return work
+
+
+def _place_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each list its centroids first (fp null), then its vectors."""
+    current, blob, graph = None, None, None
+    for batch in C.rechunk(batches, 1024):
+        cells, none = batch.column(0).to_numpy(), np.asarray(batch.column(1).is_null())
+        edges = np.r_[0, np.flatnonzero((cells[1:] != cells[:-1]) | none[1:] | none[:-1]) + 1, len(cells)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if none[a]:
+                if cells[a] != current:
+                    current, blob, graph = cells[a], batch.column(2)[int(a)].as_py(), None
+                continue
+            part = batch.slice(a, b - a)
+            if cells[a] != current:  # nothing was sampled of it
+                current, blob = cells[a], None
+            if blob is None:
+                row, which = np.arange(b - a), np.zeros(b - a, np.int64)
+            else:
+                packed = part.column(2).to_pylist()
+                dim = (len(packed[0]) - 4) // 2
+                graph = graph or CentroidGraph(np.frombuffer(blob, dtype=np.float32).reshape(-1, dim))
+                row, which = lists_of(graph, unpack(packed, dim), COPIES_BELOW)
+            yield C.batch_of(_PLACED, (1 << 40) + int(current) * (1 << 16) + which, part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row)))
+
+
+def _divided(placed: DataFrame, sizes: dict[int, float]) -> DataFrame:
+    """The rows of lists that are too long, in lists below them.  sizes: of each such list, at most MOST_LISTS of a group."""
+    spark = placed.sparkSession
+    n_lists = {c: int(min(1 << 15, -(-n * COPIES_BELOW // (LIST * COPIES)))) for c, n in sizes.items()}
+    plan = spark.createDataFrame([(c, min(1.0, max(4096, 16 * n_lists[c]) / n), max(1, int(n // SPREAD))) for c, n in sizes.items()], "cell long, rate double, salts int")
+    rows = placed.join(F.broadcast(plan), "cell")
+    drawn = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
+    sample = rows.filter(drawn).select("cell", "fp", "packed").repartition("cell").sortWithinPartitions("cell")
+    trained = C.cut(sample.mapInArrow(_train_lists(n_lists), "cell long, packed binary"))
+    first = trained.join(F.broadcast(plan), "cell").select("cell", F.lit(None).cast("long").alias("fp"), "packed", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rest = rows.select("cell", "fp", "packed", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("salts")).cast("int").alias("salt"))
+    ordered = first.union(rest).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("fp").asc_nulls_first())
+    return ordered.select("cell", "fp", "packed").mapInArrow(_place_below, _PLACED_DDL)
+
+
 def nearest_classes(packed: DataFrame, sizes: dict[tuple[str, int], int], k: int, least: float, list_size: int, copies: int) -> DataFrame:
     """(fp, other, similarity): for each class of equal vectors its k nearest other classes."""
     spark = packed.sparkSession
-    groups, base = {}, 0
+    groups, base, long = {}, 0, {}
     for (embedder, dim), n in sorted(sizes.items()):
         rate = min(1.0, SAMPLE / n)
         picked = packed.filter((F.col("embedder") == embedder) & (F.col("dim") == dim) & (F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(rate * 1_000_003) + 1))
@@ -256,29 +298,28 @@ def nearest_classes(packed: DataFrame, sizes: dict[tuple[str, int], int], k: int
         if not rows:
             continue
         sample = unpack(rows, dim)
-        n_lists = max(1, min(MOST_LISTS, round(n / list_size), len(sample) // 8))
-        centroids = train(sample, n_lists)
-        row, which = lists_of(CentroidGraph(centroids), sample[:8192], copies)
+        centroids = train(sample, max(1, min(MOST_LISTS, round(n / list_size), len(sample) // 8)))
+        _, which = lists_of(CentroidGraph(centroids), sample[:8192], copies)
         share = np.bincount(which, minlength=len(centroids)) * (n / min(len(sample), 8192))
-        blocks = np.maximum(1, np.ceil(share / CELL)).astype(np.int64)
-        groups[(embedder, dim)] = (base, centroids, blocks)
-        base += int(_cells(blocks)[-1])
+        long |= {base + int(c): float(share[c]) for c in np.flatnonzero(share > CELL)}
+        groups[(embedder, dim)] = (base, centroids)
+        base += len(centroids)
     if not groups:
         return spark.createDataFrame([], "fp long, other long, similarity double")
-    placed = packed.mapInArrow(_place(groups, copies), "cell long, side byte, fp long, packed binary").repartition("cell").sortWithinPartitions("cell")
-    near = placed.mapInArrow(_nearest(k, least), "fp long, other long, similarity double").groupBy("fp", "other").agg(F.max("similarity").alias("similarity"))
-    return near
+    placed = packed.mapInArrow(_place(groups, copies), _PLACED_DDL)
+    if long:
+        placed = placed.filter(~F.col("cell").isin(sorted(long))).union(_divided(placed, long))
+    near = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_nearest(k, least), "fp long, other long, similarity double")
+    return near.groupBy("fp", "other").agg(F.max("similarity").alias("similarity"))
 
 
 def neighbours(df: DataFrame, id_col: str, vec_col: str, dim_col: str, embedder_col: str, k: int = 5, least: float = -1.0, list_size: int | None = None, copies: int = COPIES) -> DataFrame:
-    """(id, other, similarity, rank): the k most similar other ids of each id, of at least the least similarity.
-
-    Longer lists and more copies find more of the distant neighbours, at a higher cost."""
+    """(id, other, similarity, rank): the k most similar other ids of each id, of at least the least similarity."""
     from pyspark.sql import Window as W
 
     source = usable(df, id_col, vec_col, dim_col, embedder_col)
     sizes = {(r[0], r[1]): r[2] for r in source.groupBy("embedder", "dim").count().collect()}  # a row for each embedder and size
-    packed = source.mapInArrow(_pack, "id string, embedder string, dim int, fp long, packed binary")
+    packed = C.cut(source.mapInArrow(_pack, "id string, embedder string, dim int, fp long, packed binary"))
     near = C.cut(nearest_classes(packed, sizes, k, least, list_size or LIST, copies))
     members = packed.select("id", "fp").distinct()
     first = W.partitionBy("fp").orderBy("id")

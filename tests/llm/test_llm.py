@@ -215,6 +215,24 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert V.neighbours(df.limit(0), "chunk_id", "vec", "dim", "embedder").count() == 0
 
 
+def test_long_lists_are_divided(spark, monkeypatch):
+    """With few lists on the first level, all vectors go through the second."""
+    for name, value in (("LIST", 60), ("MOST_LISTS", 3), ("CELL", 200), ("SPREAD", 400)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 12))
+    vec = np.concatenate([b + rng.normal(size=(30, 12)) * 0.4 for b in base])
+    df = spark.createDataFrame([(f"v{i:04d}", v.tolist(), 12, "e") for i, v in enumerate(vec)], "chunk_id string, vec array<double>, dim int, embedder string")
+    divided = []
+    monkeypatch.setattr(V, "_divided", lambda placed, sizes, f=V._divided: divided.append(len(sizes)) or f(placed, sizes))
+    got = {(r.id, r.other) for r in V.neighbours(df, "chunk_id", "vec", "dim", "embedder").collect()}
+    x = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    sim = x @ x.T
+    np.fill_diagonal(sim, -9)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(x)) for j in np.argsort(-sim[i])[:5]}
+    assert divided == [3] and len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+
+
 def test_centroid_graph():
     rng = np.random.default_rng(1)
     c = rng.normal(size=(300, 12)).astype(np.float32)
