@@ -2,11 +2,15 @@
 
 Every text of at least 200 normalised code points gets a signature of ``COORDINATES`` coordinates; each
 is a tuple of ``ROWS`` minima of a one-permutation MinHash over the 9-code-point substrings.  A text is
-posted under each (coordinate, value).  Lists of one text are skipped as they stream by; the others give
-collisions, which are counted for each pair of texts, and pairs with ``MATCHES`` or more coordinates alike
-are held against the exact measure.  Equal texts are one class throughout: they are posted once, and come
-back as members of it.  Lists of more than ``LONG`` texts are cut to blocks, and pairs of blocks are
-separate work, spread over the cluster.
+posted under each (coordinate, value), except that its ``SKIPPED`` longest lists are skipped: lists are ordered by
+their lengths, as counters of a fixed number tell, which is one order for all texts, so that a pair with
+``SKIPPED`` + ``MATCHES`` coordinates alike has at least ``MATCHES`` in the lists that are left (its prefix).  Collisions
+in these are counted for each pair of texts, and pairs with ``MATCHES`` or more are held against the exact measure.
+Equal texts are one class throughout: they are posted once as far as a task remembers, and come back as members of it.
+
+A list of more than ``LONG`` texts, by its counter, is cut to blocks by a hash of the text, and each pair of blocks
+is a cell of its own: a posting is sent to the cells of its block, and cells are spread over the tasks by a hash
+of key and blocks.  So a list, however long, is no single task's work.
 
 At a similarity of 0.6 a pair is lost with a probability of about 1 %, at 0.65 of 0.1 %, above 0.7 of less
 than 0.01 %.  Nothing is capped.
@@ -26,13 +30,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-COORDINATES, ROWS, MATCHES = 48, 4, 2
-LONG, BLOCK = 2048, 512
+COORDINATES, ROWS, MATCHES, SKIPPED = 50, 4, 2, 2
+LONG, COUNTERS = 2048, 1 << 18
 
 _TEXTS = pa.schema([("id", pa.string()), ("fp", pa.int64()), ("norm", pa.string())])
 _SIGNED = pa.schema([("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("fps", pa.list_(pa.int64()))])
+_POSTED = pa.schema([("cell", pa.int64()), ("side", pa.int8()), ("fp", pa.int64())])
+_COUNTS = pa.schema([("counter", pa.int32()), ("n", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 _SEEN = 500_000  # fingerprints a task remembers, to post copies once
 
@@ -98,73 +103,97 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield C.batch_of(_SIGNED, part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of sorted postings (key, fp), whole lists, except that a list of more than LONG comes in parts."""
-    key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
-    for batch in batches:
-        key = np.concatenate((key, batch.column(0).to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((fp, batch.column(1).to_numpy(zero_copy_only=False)))
-        if not len(key):
-            continue
-        keep = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]
-        key, fp = key[keep], fp[keep]
-        last = int(np.searchsorted(key, key[-1]))
-        if len(key) - last > LONG:
-            last = len(key) - 1  # its last posting stays, so that a repetition of it is seen
-        yield key[:last], fp[:last]
-        key, fp = key[last:], fp[last:]
-    yield key, fp
+def _counter(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(COUNTERS)
 
 
-def _long_keys(key: np.ndarray, before: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(key)])
-    return starts, sizes, (sizes > LONG - 1) | (key[starts] == before if before is not None else False)
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many postings fall to each counter."""
+    n = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        n += np.bincount(_counter(batch.column(1).flatten().to_numpy()).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(n)
+    yield C.batch_of(_COUNTS, at.astype(np.int32), n[at])
+
+
+def _post(lengths: np.ndarray):
+    """Signatures to postings (cell, side, fp) of all but the longest lists.
+
+    Side 0: all pairs of a cell are pairs of its list; sides 1 and 2: those of one with the other."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.rechunk(batches, 4096):
+            keys = batch.column(1).flatten().to_numpy().reshape(-1, COORDINATES)
+            fp = batch.column(0).to_numpy()
+            long = lengths[_counter(keys)]
+            # by length, then key: one order of lists for all texts
+            order = np.lexsort((keys, long), axis=1)[:, : COORDINATES - SKIPPED]
+            keys, long = np.take_along_axis(keys, order, 1).ravel(), np.take_along_axis(long, order, 1).ravel()
+            fp = np.repeat(fp, COORDINATES - SKIPPED)
+            blocks = -(-long // LONG)
+            one = blocks <= 1
+            yield C.batch_of(_POSTED, keys[one], np.zeros(int(one.sum()), np.int8), fp[one])
+            at = np.flatnonzero(~one)
+            while len(at):  # some at a time: each is sent to as many cells as its list has blocks
+                some, at = at[: max(1, 1_000_000 // int(blocks[at].max()))], at[max(1, 1_000_000 // int(blocks[at].max())) :]
+                b = blocks[some]
+                row = np.repeat(some, b)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(b) - b, b)
+                own = (C.mix(fp[row].view(np.uint64).copy()) % blocks[row].astype(np.uint64)).astype(np.int64)
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                cell = C.mix(keys[row].view(np.uint64) + C.mix((low * (1 << 31) + high + 1).view(np.uint64))).view(np.int64)
+                yield C.batch_of(_POSTED, cell, np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8), fp[row])
+
+    return post
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of sorted postings (cell, side, fp), whole cells, repetitions left out."""
+    held = [np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.int64)]
+    for batch in batches:
+        held = [np.concatenate((h, batch.column(k).to_numpy(zero_copy_only=False))) for k, h in enumerate(held)]
+        cell, side, fp = held
+        if not len(cell):
+            continue
+        keep = np.r_[True, (cell[1:] != cell[:-1]) | (side[1:] != side[:-1]) | (fp[1:] != fp[:-1])]
+        cell, side, fp = (h[keep] for h in held)
+        last = int(np.searchsorted(cell, cell[-1]))
+        yield cell[:last], side[:last], fp[:last]
+        held = [cell[last:], side[last:], fp[last:]]
+    yield tuple(held)
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of texts of each list that isn't long, once for each list."""
+    """The pairs of texts of each list, once for each list that both are in."""
     triangles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    before = None
-    for key, fp in _runs(batches):
-        if not len(key):
-            continue
-        starts, sizes, long = _long_keys(key, before)
-        before = int(key[-1]) if long[-1] else None
-        for n in np.unique(sizes[~long]):
-            if n < 2:
-                continue
-            x, y = triangles.setdefault(int(n), np.triu_indices(int(n), 1)) if n <= 64 else np.triu_indices(int(n), 1)
-            own = starts[~long & (sizes == n)]
-            step = max(1, 200_000 // len(x))
-            for at in range(0, len(own), step):
-                left, right = fp[(own[at : at + step, None] + x).ravel()], fp[(own[at : at + step, None] + y).ravel()]
-                yield C.batch_of(_PAIRS, np.minimum(left, right), np.maximum(left, right))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The long lists, in blocks."""
-    before, block = None, 0
-    for key, fp in _runs(batches):
-        if not len(key):
-            continue
-        starts, sizes, long = _long_keys(key, before)
-        for s, n in zip(starts[long], sizes[long], strict=True):
-            if before is None or key[s] != before:
-                block = 0
-            rows = [fp[s + i : s + min(i + BLOCK, n)] for i in range(0, n, BLOCK)]
-            yield C.batch_of(_BLOCKS, [int(key[s])] * len(rows), list(range(block, block + len(rows))), [r.tolist() for r in rows])
-            block += len(rows)
-            before = int(key[s])
-        before = int(key[-1]) if long[-1] else None
 
+    def pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        return C.batch_of(_PAIRS, np.minimum(left, right), np.maximum(left, right))
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.rechunk(batches, 1):
-        i, j, left, right = (batch.column(n)[0].as_py() for n in ("block", "other", "fps", "others"))
-        left, right = np.array(left), np.array(right)
-        x, y = np.triu_indices(len(left), 1) if i == j else map(np.ravel, np.indices((len(left), len(right))))
-        yield C.batch_of(_PAIRS, np.minimum(left[x], right[y]), np.maximum(left[x], right[y]))
+    for cell, side, fp in _cells(batches):
+        if not len(cell):
+            continue
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        sizes = np.diff(np.r_[starts, len(cell)])
+        crossed = np.maximum.reduceat(side, starts) > 0
+        for n in np.unique(sizes[~crossed]):
+            if n < 2:
+                continue  # a list of one text gives no pair
+            own = starts[~crossed & (sizes == n)]
+            if n <= 64:
+                x, y = triangles.setdefault(int(n), np.triu_indices(int(n), 1))
+                step = max(1, 200_000 // len(x))
+                for at in range(0, len(own), step):
+                    yield pairs(fp[(own[at : at + step, None] + x).ravel()], fp[(own[at : at + step, None] + y).ravel()])
+            else:
+                for s in own:
+                    for i in range(int(n) - 1):
+                        yield pairs(np.full(int(n) - 1 - i, fp[s + i]), fp[s + i + 1 : s + n])
+        for s, n in zip(starts[crossed], sizes[crossed], strict=True):
+            one, two = (fp[s : s + n][side[s : s + n] == k] for k in (1, 2))
+            step = max(1, 200_000 // max(1, len(two)))
+            for at in range(0, len(one) if len(two) else 0, step):
+                yield pairs(np.repeat(one[at : at + step], len(two)), np.tile(two, len(one[at : at + step])))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +219,12 @@ def members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def links(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b, similarity): the pairs of different classes that are alike, smaller fp first."""
     source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    postings = source.mapInArrow(_sign, "fp long, keys array<long>").select(F.explode("keys").alias("key"), "fp")
-    postings = postings.repartition("key").sortWithinPartitions("key", "fp")
-    pairs = postings.mapInArrow(_collide, "a long, b long")
-    blocks = postings.mapInArrow(_blocks, "key long, block int, fps array<long>")
-    other = blocks.select("key", F.col("block").alias("other"), F.col("fps").alias("others"))
-    crossed = blocks.join(other, "key").filter("block <= other").mapInArrow(_block_pairs, "a long, b long")
-    candidates = pairs.union(crossed).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= MATCHES).select("a", "b")
+    signed = C.cut(source.mapInArrow(_sign, "fp long, keys array<long>"))
+    lengths = np.zeros(COUNTERS, dtype=np.int64)
+    counted = signed.mapInArrow(_lengths, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    lengths[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    postings = signed.mapInArrow(_post(lengths), "cell long, side byte, fp long").repartition("cell").sortWithinPartitions("cell", "side", "fp")
+    candidates = postings.mapInArrow(_collide, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= MATCHES).select("a", "b")
     texts = source.mapInArrow(_distinct_texts, "fp long, norm string").dropDuplicates(["fp"])
     left, right = (texts.select(F.col("fp").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
     return candidates.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long, similarity double")

@@ -321,6 +321,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, dim_col: str, embedder_
     sizes = {(r[0], r[1]): r[2] for r in source.groupBy("embedder", "dim").count().collect()}  # a row for each embedder and size
     packed = C.cut(source.mapInArrow(_pack, "id string, embedder string, dim int, fp long, packed binary"))
     near = C.cut(nearest_classes(packed, sizes, k, least, list_size or LIST, copies))
+    C.release(df.sparkSession)
     members = packed.select("id", "fp").distinct()
     first = W.partitionBy("fp").orderBy("id")
     slots = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("fp").agg(F.array_sort(F.collect_list("id")).alias("slots"))

@@ -54,27 +54,54 @@ def test_near_duplicates_against_brute_force(spark):
     assert N.found_pairs(df.limit(0), "chunk_id", "text").count() == 0
 
 
-def test_long_lists_give_the_same_pairs(monkeypatch):
-    """Lists above the bound go the way of blocks; both ways give all collisions."""
+def _posted(signed, lengths):
     import pyarrow as pa
 
+    keys = pa.array([k for _, ks in signed for k in ks], pa.int64())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(signed) + 1, dtype=np.int32) * N.COORDINATES), keys)
+    batch = C.batch_of(N._SIGNED, [f for f, _ in signed], lists)
+    rows = sorted({r for b in N._post(lengths)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+    return rows + rows[:5], [C.batch_of(N._POSTED, *map(list, zip(*rows[a : a + 23], strict=True))) for a in range(0, len(rows), 23)]
+
+
+def test_long_lists_and_skipped_lists_lose_no_pair(monkeypatch):
+    """Any order of lists and any cutting to blocks keep the pairs that have enough coordinates alike."""
+    monkeypatch.setattr(N, "COORDINATES", 8)
     r = random.Random(2)
-    posts = sorted({(r.randrange(6) ** 2, r.randrange(400)) for _ in range(900)} | {(7, i) for i in range(3)})
-    posts = sorted(posts + posts[::50])
-    monkeypatch.setattr(N, "LONG", 40)
-    monkeypatch.setattr(N, "BLOCK", 16)
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
-    batches = lambda: (C.batch_of(schema, [k for k, _ in posts[a : a + 23]], [f for _, f in posts[a : a + 23]]) for a in range(0, len(posts), 23))
-    got = [p for b in N._collide(batches()) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    blocks = [dict(zip(("key", "block", "fps"), x, strict=True)) for b in N._blocks(batches()) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    pairs = [(x, y) for x in blocks for y in blocks if x["key"] == y["key"] and x["block"] <= y["block"]]
-    for x, y in pairs:
-        b = pa.RecordBatch.from_pylist([{"block": x["block"], "other": y["block"], "fps": x["fps"], "others": y["fps"]}])
-        got += [p for o in N._block_pairs(iter([b])) for p in zip(*(c.to_pylist() for c in o.columns), strict=True)]
-    want = []
-    for k in {k for k, _ in posts}:
-        want += itertools.combinations(sorted({f for q, f in posts if q == k}), 2)
-    assert sorted(got) == sorted(want) and blocks
+    signed = [(f, [c * 1000 + r.randrange(3) ** 2 for c in range(8)]) for f in range(150)]
+    lengths = np.zeros(N.COUNTERS, dtype=np.int64)
+    for long in (10**6, 20):
+        monkeypatch.setattr(N, "LONG", long)
+        for _, keys in signed:
+            np.add.at(lengths, N._counter(np.array(keys)).astype(int), 1)
+        rows, batches = _posted(signed, lengths)
+        got = {}
+        for b in N._collide(iter(batches)):
+            for p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got[p] = got.get(p, 0) + 1
+        for (f, x), (g, y) in itertools.combinations(signed, 2):
+            alike_n = sum(a == b for a, b in zip(x, y, strict=True))
+            assert alike_n - N.SKIPPED <= got.get((f, g), 0) <= alike_n
+    assert {s for _, s, _ in rows} == {0, 1, 2}
+
+
+def test_a_long_list_is_many_tasks_work():
+    """20,000 texts with one coordinate in common."""
+    r = np.random.default_rng(1)
+    signed = [(int(f), [7] + r.integers(1 << 40, 1 << 60, N.COORDINATES - 1).tolist()) for f in range(20_000)]
+    lengths = np.ones(N.COUNTERS, dtype=np.int64)
+    lengths[N._counter(np.array([7]))] = 20_000
+    monkey = N.SKIPPED
+    N.SKIPPED = 0
+    try:
+        rows, _ = _posted(signed, lengths)
+    finally:
+        N.SKIPPED = monkey
+    shared = {}
+    for cell, _, f in rows:
+        shared.setdefault(cell, set()).add(f)
+    sizes = [len(v) for v in shared.values() if len(v) > 1]
+    assert len(sizes) == 55 and max(sizes) < 3 * N.LONG  # ten blocks: each with itself and each other
 
 
 def test_pieces(spark):
