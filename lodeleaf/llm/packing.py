@@ -169,8 +169,10 @@ def sized(documents: DataFrame, id_col: str, text_col: str, tokenizer: str = T.D
 def pack(documents: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = T.DEFAULT, rows_per_task: int = 250_000) -> DataFrame:
     """(container, bin_id, doc_id, part_no, start_token, n_tokens, capacity): a row for each item in a container.
 
-    limits: (container, capacity_tokens), a table of fixed size; at most 1,000 of its rows are read."""
-    sizes = [(r[0], r[1]) for r in limits.filter("container is not null and capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("int")).orderBy("container").limit(1000).collect()]
+    limits: (container, capacity_tokens), a table of fixed size; more than 1,000 sizes are refused."""
+    sizes = [(r[0], r[1]) for r in limits.filter("container is not null and capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("int")).orderBy("container").limit(1001).collect()]
+    if len(sizes) > 1000:
+        raise ValueError("more than 1,000 container sizes")
     items = C.cut(sized(documents, id_col, text_col, tokenizer))
     tasks = max(1, min(-(-items.count() // rows_per_task), 100_000))
     spread = F.xxhash64("doc_id").alias("spread")

@@ -394,7 +394,24 @@ def test_mixing(spark):
     assert empty_used.count() == 0 and empty_shares.count() == 4
 
 
+def test_mixing_meets_the_shares_by_default(spark):
+    r = random.Random(9)
+    docs = [(i, text(5 + r.randrange(40), r), s) for i, s in enumerate(["a"] * 300 + ["b"] * 40 + ["c"] * 25)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 4), ("none", 0.1, 9)], "source string, target_share double, max_repeats int")
+    used, shares = M.mix(df, targets, weight=F.when(F.col("doc_id") % 2 == 0, 0.01).otherwise(1.0))
+    by = {x.source: x for x in shares.collect()}
+    assert all(abs(by[s].actual_share - by[s].target_share / 0.9) < 0.02 for s in "abc") and by["b"].actual_tokens == 2 * by["b"].available_tokens
+    heavy = [x.doc_id % 2 for x in used.collect() if x.source == "a"]
+    assert sum(heavy) > 0.6 * len(heavy)  # documents of greater weight come first
+    with pytest.raises(ValueError):
+        M.mix(df, spark.range(10_002).selectExpr("cast(id as string) as source", "0.1D as target_share", "1 as max_repeats"))
+    with pytest.raises(ValueError):
+        P.pack(df, spark.range(1_002).selectExpr("cast(id as string) as container", "10 as capacity_tokens"))
+
+
 def test_fill():
+    assert M.feasible([("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.2, 3)], {"a": 100, "b": 10}) == 40.0 and M.feasible([], {}) == 0.0
     targets = [("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.2, 3)]
     assert M.fill(targets, {"a": 100, "b": 10}, 60) == {"a": 40.0, "b": 20.0, "c": 0.0}
     assert M.fill(targets, {"a": 10, "b": 10}, 1000) == {"a": 10.0, "b": 20.0, "c": 0.0}
