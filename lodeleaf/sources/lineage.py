@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """The folder that spark.checkpoint.dir names; on a single machine a temporary one where none is set.
+
+    On a cluster a folder of one machine would lose data with it, so without the setting there is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         where = Path(tempfile.mkdtemp(prefix="checkpoint-")).as_uri()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
