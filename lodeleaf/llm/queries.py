@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +70,16 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks as added records."""
-    records = TC.once(C.table(spark, d, "chunks"), "chunk_id", "text")
-    added = TC.deltas(records, F.lit(None).cast("string"), F.col("text"))
-    return TC.marked(added, TC.record_total(records))
+    """All chunks, as they come to a store in two increments, by a hash of the document."""
+    store = TC.TermStore(spark, f"{C.checkpoint_dir(spark).rstrip('/')}/terms-{uuid.uuid4().hex}")
+    chunks = C.table(spark, d, "chunks").select("chunk_id", "doc_id", "text")
+    arrival = F.coalesce(F.pmod(F.xxhash64(F.substring_index("chunk_id", ":", 1)), F.lit(2)), F.lit(0))
+    for k in (0, 1):
+        added = TC.once(chunks.filter(arrival == k), "chunk_id", "text")
+        store.apply(TC.deltas(added, F.lit(None).cast("string"), F.col("text")))
+    found = C.cut(TC.marked(store.counts()))
+    store.drop()
+    return found
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -271,7 +271,7 @@ def test_centroid_graph():
     assert V.CentroidGraph(c[:1]).search(q)[0][:, 0].max() == 0
 
 
-def test_term_deltas(spark, tmp_path):
+def test_term_deltas(spark, tmp_path, monkeypatch):
     old = spark.createDataFrame([("a", "Alpha alpha beta"), ("b", "beta 中文字"), ("c", None), ("d", " ")], "id string, text string")
     new = spark.createDataFrame([("a", "Alpha gamma"), ("c", "new beta"), ("d", " ")], "id string, text string")
     count = lambda df: {r.term: (r.occurrences, r.records) for r in df.collect()}
@@ -283,9 +283,19 @@ def test_term_deltas(spark, tmp_path):
     changes = TC.changes_between(old, new)
     assert {r.id for r in changes.collect()} == {"a", "b", "c"}
     store.apply(TC.deltas(changes, F.col("old_text"), F.col("new_text")))
-    assert count(store.read()) == count(full(new)) and TC.record_total(old).first()[0] == 2
-    marked = {r.term: r.mark for r in TC.marked(full(old), spark.createDataFrame([(10,)], "n long"), 0.1, 1).collect()}
-    assert marked["beta"] == "common" and marked["alpha"] == "rare"
+    whole = count(full(new))
+    assert whole.pop(TC.TOTAL) == (0, 2) and count(store.read()) == whole
+    assert count(store.counts())[TC.TOTAL] == (0, 2) and store.vacuum() > 0 and store.vacuum() == 0 and count(store.read()) == whole
+    marked = {r.term: r.mark for r in TC.marked(full(old), 0.5, 1).collect()}
+    assert marked["beta"] == "common" and marked["alpha"] == "rare" and TC.TOTAL not in marked
+    store.apply(TC.deltas(TC.changes_between(new, new.limit(0)), F.col("old_text"), F.col("new_text")))
+    assert count(store.counts()) == {}
+    store.drop()
+    assert not (tmp_path / "t").exists()
+    twice = old.union(spark.createDataFrame([("a", "Zeta"), ("b", "beta 中文字"), (None, "x")], "id string, text string"))
+    for most in (10, 0):
+        monkeypatch.setattr(TC, "MOST_REPEATED", most)
+        assert {tuple(r) for r in TC.once(twice, "id", "text").collect()} == {tuple(r) for r in old.collect()}
     assert full(old.limit(0)).count() == 0 and TC.terms("A_1 ü カナ x") == ["a_1", "カ", "ナ", "カナ", "x"]
 
 
