@@ -1,15 +1,21 @@
 """Sentence units of texts in spaced and spaceless scripts.
 
-A line break always ends a unit.  Within a line the gaps behind terminators (and in Thai behind spaces) are
-candidates, and rules judge each by itself.  There is no lattice of terminators: the cost of a unit would come from
-the gap it ends at and the quotations torn there, so the cheapest path would be the same choice at each gap.
-
-- Spaced scripts (Latin, Arabic, Devanagari): a gap is judged by the word before a full stop (abbreviation,
-  initial, number, ordinal), by what comes next (case, digit, address, opening mark), and by closing marks.
-- Spaceless scripts (Chinese, Japanese): the text behind a closing mark is segmented by a word lattice over a small
-  dictionary; a quotation goes on if a particle or a reporting clause follows it.  Where no terminator stands,
-  the text on both sides is segmented: a final word before an opening word ends a unit.
-- Thai: a space before Thai text ends a unit, whatever the words.
+A line break always ends a unit.  Within a line the places behind terminators (and in Thai behind spaces, in Chinese and
+Japanese also between words) are the nodes of a lattice, and the units between two of them its edges.  A path through
+it costs what its breaks cost, the marks they tear, and the units that have no letter or digit; the cheapest one
+gives the units.
+
+- A break costs less than nothing where its evidence is for a sentence end, and more where it is against it: the word
+  before a full stop (abbreviation, initial, number, ordinal), what comes next (case, digit, address, opening
+  mark, a word that opens sentences), and closing marks.
+- A quotation or bracket that is closed in the line may be kept whole, which leaves out all breaks in it, or torn once at the
+  cost ``TEAR``, after which the breaks in it stand for themselves; so a long one of many sentences is divided.
+- Chinese and Japanese lines are segmented by a word lattice over their whole length: words of a dictionary of particles,
+  final, reporting and opening words, found at once by an automaton, on the cheapest path.  Behind a closing mark a
+  particle or a reporting clause goes on; without a terminator, a final word before an opening word ends a unit.
+- Thai: a space before Thai text ends a unit, whatever the words, as the task's definition has it.
+
+All steps are linear in the length of the line, but for a logarithm.
 
 Markers of headings, list items, questions and answers belong to what follows them.  Null and blank texts
 have no units.  Repeated rows of an id count once.
@@ -18,9 +24,11 @@ have no units.  Repeated rows of an id count once.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +61,14 @@ REPORTING = "问道 说道 答道 写道 喊道 问 说 表示 指出 回答 回
 OPENING = "但是 不过 因此 所以 然后 此外 另外 同时 并且 如果 为什么 しかし そして また なお ただし なぜ そのため さらに".split()
 JOINING = "または なおさら".split()  # begin like opening words
 
+SAYING = "尋ね 言っ 述べ 答え".split()
+# Words that open sentences in spaced scripts and are no names; behind an abbreviation with inner full stops.
+OPENERS = frozenset("the this these those that he she it we they you i there here but and so if when while after before in on at as however what why how who our their his her a an der die das es er sie wir ich und aber wenn le la les il elle nous vous ils on ce cette et mais si el los las ella ellos y pero en".split())
+
 _DICTIONARY = {w: kind for kind, words in (("particle", PARTICLES), ("final", FINAL), ("report", REPORTING), ("opening", OPENING), ("joining", JOINING)) for w in words}
-_LONGEST = max(map(len, _DICTIONARY))
-_OPENS = re.compile("|".join(sorted(OPENING, key=len, reverse=True)))
+_VOWELS = frozenset("aeiouyáàâäãéèêëíìîïóòôöõúùûüœæ")
+# Costs of the lattice.
+SURELY, TEAR, EMPTY = 2.0, 12.0, 3.0
 
 _LINES = re.compile(r"[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 _CLOSE = "\"'”’»)]」』）】》"
@@ -69,35 +82,63 @@ _ADDRESS = re.compile(r"[\w.+\-]+(?:@|\s?[\[(]at[\])])|https?://|www\.")
 _DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 _PAIRS = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "（": "）", "(": ")"}
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_SOFT = 400  # code points a quotation may have
-
-
-@lru_cache(maxsize=20_000)
-def lattice(text: str) -> tuple[str, ...]:
-    """The cheapest segmentation into dictionary words and single characters."""
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for j in range(1, len(text) + 1):
-        options = [(best[j - 1][0] + 1.5, j - 1)]
-        for i in range(max(0, j - _LONGEST), j):
-            if text[i:j] in _DICTIONARY:
-                options.append((best[i][0] + 1.0, i))
-        best.append(min(options))
-    out, j = [], len(text)
-    while j:
-        i = best[j][1]
-        out.append(text[i:j])
-        j = i
-    return tuple(reversed(out))
+_SPACES = re.compile(r"\s*")
+_SPOKEN = re.compile(r"[。！？!?；]")
+
+
+@cache
+def _automaton() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for w in {*_DICTIONARY, *SAYING}:
+        out.add_word(w, w)
+    out.make_automaton()
+    return out
+
+
+class Words:
+    """The cheapest segmentation of a line into dictionary words and single characters, by where its words start and end.
+
+    A single character costs 1.5, a word 1, so that a word of n saves 1.5 n - 1."""
+
+    def __init__(self, line: str):
+        at, saved, chosen = [0], [0.0], [-1]  # the best that ends at or before a place, by places
+        found: list[tuple[int, int]] = []
+        self.saying: list[int] = []
+        for last, w in _automaton().iter(line):
+            end = last + 1
+            start = end - len(w)
+            if w in SAYING:
+                self.saying.append(start)
+            if w not in _DICTIONARY:
+                continue
+            value = saved[bisect_right(at, start) - 1] + 1.5 * len(w) - 1
+            if value > saved[-1]:
+                found.append((start, end))
+                if at[-1] == end:
+                    saved[-1], chosen[-1] = value, len(found) - 1
+                else:
+                    at.append(end)
+                    saved.append(value)
+                    chosen.append(len(found) - 1)
+        self.starts: dict[int, str] = {}
+        self.ends: dict[int, str] = {}
+        k = len(at) - 1
+        while k > 0:
+            start, end = found[chosen[k]]
+            self.starts[start] = self.ends[end] = line[start:end]
+            k = bisect_right(at, start) - 1
+
+    def kind_at(self, place: int) -> str | None:
+        return _DICTIONARY.get(self.starts.get(place, ""))
 
 
 def _spans(line: str) -> list[tuple[int, int]]:
-    """(opening, closing) of quotations and brackets that are closed in the line, outermost ones."""
+    """(opening, closing) of quotations and brackets that are closed in the line."""
     out, stack = [], []
-    for i, ch in enumerate(line):
+    for m in _MARKS.finditer(line):
+        i, ch = m.start(), m.group()
         if stack and ch == stack[-1][1] and (ch not in "\"'’" or i + 1 == len(line) or not line[i + 1].isalnum()):
-            start = stack.pop()[0]
-            if i - start <= _SOFT:
-                out.append((start, i))
+            out.append((stack.pop()[0], i))
         elif ch in _PAIRS and not (ch == "“" and stack and stack[-1][1] == "“"):
             stack.append((i, _PAIRS[ch]))
         elif ch == '"' and (i == 0 or not line[i - 1].isalnum() and line[i - 1] not in ".!?,।") and i + 1 < len(line) and not line[i + 1].isspace():
@@ -107,130 +148,203 @@ def _spans(line: str) -> list[tuple[int, int]]:
     return out
 
 
+_MARKS = re.compile("[" + re.escape("".join({*_PAIRS, *_PAIRS.values(), '"', "‘", "’", "'"})) + "]")
+
+
+class _Marks:
+    """The quotations and brackets of a line, and which outermost one holds a place."""
+
+    def __init__(self, line: str):
+        spans = _spans(line)
+        self.opened = {b: a for a, b in spans}
+        self.outer: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if not self.outer or a > self.outer[-1][1]:
+                self.outer.append((a, b))
+        self._starts = [a for a, _ in self.outer]
+
+    def around(self, at: int, end: int) -> int:
+        """The outermost one that holds line[at:end] and goes on behind it, or -1."""
+        k = bisect_left(self._starts, at) - 1
+        return k if k >= 0 and self.outer[k][1] >= end else -1
+
+
 def _script(line: str) -> str:
     if _CJK.search(line):
         return "cjk"
     return "thai" if any("฀" <= c <= "๿" for c in line) else "spaced"
 
 
-def _full_stop(line: str, at: int, after: str, rest: str) -> bool:
-    """Whether the full stop at a place ends a sentence; after: the next character behind spaces."""
+def _word_before(line: str, end: int) -> str:
+    """The word that ends before a place, up to a blank."""
+    while end and line[end - 1].isspace():
+        end -= 1
+    return line[line.rfind(" ", 0, end) + 1 : end]
+
+
+def _full_stop(line: str, at: int, after: str, place: int) -> float:
+    """What a break at a full stop costs; after: the next character behind spaces, at a place."""
     word = _WORD.search(line[max(0, at - 40) : at]).group()
     lower = word.lower().lstrip("'’")
     if "-" in lower and lower.rpartition("-")[2] in TITLES:
         lower = lower.rpartition("-")[2]
     if not word:
-        return True
-    if _ADDRESS.match(rest):
-        return lower not in TITLES and not (len(word) == 1 and word.isalpha())
+        return -SURELY
+    if _ADDRESS.match(line, place):
+        return -SURELY if lower not in TITLES and not (len(word) == 1 and word.isalpha()) else SURELY
     if word in CASELESS_TITLES:
-        return False
+        return SURELY
+    opens = _NEXT.match(line, place).group().rstrip(".,;:!?").lower() in OPENERS
     single = len(word) == 1 and word.isalpha()
     if single or _DOTTED.fullmatch(word):
-        before = line[: at - len(word)].rstrip().rpartition(" ")[2]
+        before = _word_before(line, at - len(word))
         if single and word.isupper() and before[-1:].isdigit() and not after.isdigit():
-            return True  # the last letter of a number
+            return -SURELY  # the last letter of a number
         if lower in ("a.m", "p.m"):
-            return after.isupper() or not after.isalnum()
-        return False
+            return -SURELY if after.isupper() or not after.isalnum() else SURELY
+        return -1.0 if not single and after.isupper() and opens else SURELY
     if after.islower():
-        return lower not in ABBREVIATIONS and len(word) > 3 and not word[0].isdigit()
+        return -SURELY if lower not in ABBREVIATIONS and len(word) > 3 and not word[0].isdigit() else SURELY
     if after.isdigit():
-        return lower not in ABBREVIATIONS
+        return -SURELY if lower not in ABBREVIATIONS else SURELY
     if word.isdigit() and len(word) <= 2 and after.isupper():
-        before = line[: at - len(word)].rstrip().rpartition(" ")[2].lower().lstrip("(„\"«")
-        return before not in BEFORE_ORDINAL
-    return lower not in TITLES
+        before = _word_before(line, at - len(word)).lower().lstrip("(„\"«")
+        return -SURELY if before not in BEFORE_ORDINAL else SURELY
+    if lower in TITLES:
+        return SURELY
+    if word[0].isupper() and word.isalpha() and word.isascii() and 1 < len(word) < 6 and not word.isupper() and not _VOWELS & set(lower):
+        return 1.0 if not opens else -1.0  # letters without a vowel are an abbreviation, unless a sentence plainly opens
+    return -SURELY
 
 
-def _goes_on(line: str, end: int, opened: int) -> bool:
+def _goes_on(line: str, end: int, opened: int, words: Words, clauses: list[int]) -> bool:
     """Whether a sentence in a spaceless script goes on behind a closing mark: opened is where the mark opens."""
-    tail = line[end : end + 60]
-    words = lattice(tail[:12].lstrip())
-    if not words or tail[:1].isspace() and not _CJK.match(tail.lstrip()[:1]):
+    place = _SPACES.match(line, end).end()
+    if place == len(line) or place > end and not _CJK.match(line[place]):
         return False
-    kind = _DICTIONARY.get(words[0])
+    kind = words.kind_at(place)
     if kind == "particle":
         return True
     if kind == "opening":
         return False
-    lead = line[:opened].rstrip()
-    if lead[-1:] in "：:，,、":
+    lead = opened
+    while lead and line[lead - 1].isspace():
+        lead -= 1
+    before = line[lead - 1 : lead]
+    if before and before in "：:，,、":
         return kind == "report"
     if line[opened] in "（(":
-        before = re.split(r"[。！？!?」』）”]", lead)[-1]
-        return any(c.isalnum() for c in before) and not _MARKER.fullmatch(line[:opened])
-    clause = re.split(r"[。！？!?；]", tail, maxsplit=1)[0]
-    return any(clause.rstrip("：:，,").endswith(w) for w in REPORTING) or any(w in clause for w in ("尋ね", "言っ", "述べ", "答え"))
-
-
-def _ends(line: str, at: int, end: int, spans: list[tuple[int, int]], cjk: bool) -> bool:
-    """Whether a unit ends behind line[at:end], a run of terminators with closing marks."""
-    run = line[at:end]
-    rest = line[end:]
-    gap = len(rest) - len(rest.lstrip())
-    rest = rest[gap:]
-    if not rest:
+        while lead and line[lead - 1] not in "。！？!?」』）”":
+            if line[lead - 1].isalnum():
+                return not _MARKER.fullmatch(line, 0, opened)
+            lead -= 1
+        return False
+    k = bisect_left(clauses, end)
+    stop = clauses[k] if k < len(clauses) else len(line)
+    said = bisect_left(words.saying, end)
+    if said < len(words.saying) and words.saying[said] < stop:
         return True
-    marks = run.rstrip(_CLOSE + "“   ")
-    closers = run[len(marks) :]
-    after = rest[0]
-    for a, b in spans:
-        if a < at and b >= end:
-            return False  # inside a quotation or bracket
-    last = marks[-1]
+    while stop > end and (line[stop - 1].isspace() or line[stop - 1] in "：:，,"):
+        stop -= 1
+    return any(line.endswith(w, end, stop) for w in REPORTING)
+
+
+def _cost(line: str, at: int, end: int, marks: _Marks, words: Words | None, clauses: list[int]) -> float | None:
+    """What a break behind line[at:end] costs, a run of terminators with closing marks; None if it is no place for one."""
+    place = _SPACES.match(line, end).end()
+    if place == len(line):
+        return -SURELY
+    gap, after = place - end, line[place]
+    cjk = words is not None
+    dots = at
+    while dots < end and line[dots] in ".!?。！？।؟…":
+        dots += 1
+    ends, closers = line[at:dots], line[dots:end].strip()
+    last = ends[-1]
     wide = last in "。！？" or cjk and last == "…"
     if not gap and not wide and last not in "।؟" and not closers and after not in "¿¡" and not _CJK.match(after):
         if last == "." or after.isalnum() or after in ",;:)]}’'\"/":
-            return False
+            return None
     if after in ",;:，；：、":
-        return False
-    if last == "…" or marks.endswith(".."):
-        return after.isupper() or after in "¿¡«„“\"「" and not wide
+        return None
+    if last == "…" or ends.endswith(".."):
+        return -SURELY if after.isupper() or after in "¿¡«„“\"「" and not wide else SURELY
     if closers:
-        opened = next((a for a, b in spans if at < b < end), None)
+        opened = next((marks.opened[b] for b in range(at + 1, end) if b in marks.opened), None)
         if wide or _CJK.match(after):
-            return not (opened is not None and _goes_on(line, end, opened)) if opened is not None else not _starts_particle(rest)
+            if opened is not None and cjk:
+                return SURELY if _goes_on(line, end, opened, words, clauses) else -SURELY
+            return SURELY if cjk and words.kind_at(place) in ("particle", "report") else -SURELY
         if after.islower():
-            return bool(_ADDRESS.match(rest))
+            return -SURELY if _ADDRESS.match(line, place) else SURELY
         if last in "؟?!" and ("؀" <= after <= "ۿ" or "ऀ" <= after <= "ॿ"):
             # caseless: the quotation is all of it only if a colon doesn't open it and nothing follows
-            return closers[-1] in ")）"
-        if last == "." and closers[-1] not in ")]" :
-            return True
-        if last == ".":
-            return _full_stop(line, at, after, rest) or (opened is not None and not line[:opened].strip())
-        return True
+            return -SURELY if closers[-1] in ")）" else SURELY
+        if last == "." and closers[-1] in ")]":
+            return -SURELY if opened is not None and _SPACES.match(line).end() >= opened else _full_stop(line, at, after, place)
+        return -SURELY
     if last in "!?":
-        return not after.islower() or bool(_ADDRESS.match(rest)) or bool(gap and marks not in "!?" and len(marks) > 1)
+        return -SURELY if not after.islower() or _ADDRESS.match(line, place) or gap and ends not in "!?" and len(ends) > 1 else SURELY
     if last == ".":
-        return _full_stop(line, at, after, rest)
-    return True
-
-
-def _starts_particle(rest: str) -> bool:
-    words = lattice(rest[:12])
-    return bool(words) and _DICTIONARY.get(words[0]) in ("particle", "report")
+        return _full_stop(line, at, after, place)
+    return -SURELY
 
 
-def _bare_ends(line: str, first: int, spans: list[tuple[int, int]]) -> list[int]:
-    """Ends of units in a spaceless script that have no terminator: behind a final word before an opening word."""
+def _bare_gaps(line: str, first: int, words: Words, clauses: list[int]) -> list[tuple[int, float]]:
+    """Places in a spaceless script without terminator: what a break costs between a final and an opening word."""
     out = []
-    for m in _OPENS.finditer(line, first):
-        lead = line[first : m.start()].rstrip()
-        clause = re.split(r"[。！？!?；]", lead)[-1]
-        if len(clause) < 4 or not _CJK.match(lead[-1]) or any(a < m.start() <= b for a, b in spans):
+    for start in sorted(words.starts):
+        if start <= first or _DICTIONARY[words.starts[start]] != "opening":
             continue
-        if _DICTIONARY.get(lattice(line[m.start() : m.start() + 12])[0]) != "opening":
+        lead = start
+        while lead > first and line[lead - 1].isspace():
+            lead -= 1
+        k = bisect_left(clauses, lead) - 1
+        begin = max(first, clauses[k] + 1 if k >= 0 else 0)
+        if lead - begin < 4 or not _CJK.match(line[lead - 1]):
             continue
-        words = [w for w in lattice(clause[-12:]) if w.strip()]
-        while words and _DICTIONARY.get(words[-1]) == "final" and words[-1] not in SURE:
-            words.pop()
-        if words and words[-1] in SURE:
-            out.append(first + len(lead))
+        end, n = lead, 0
+        while end in words.ends and _DICTIONARY[words.ends[end]] == "final":
+            w = words.ends[end]
+            n += 1
+            if w in SURE:
+                out.append((lead, -SURELY))
+                break
+            end -= len(w)
+        else:
+            out.append((lead, SURELY))
     return out
 
 
+def _cheapest(line: str, first: int, gaps: list[tuple[int, float]]) -> list[int]:
+    """The breaks of the cheapest path over places (end, cost), in order: a unit without a letter or digit costs EMPTY."""
+    # the best path that ends at each place; of those before, the best with a letter since, and those without one
+    nodes: list[tuple[int, int]] = []  # (place, node before)
+    best_cost, best_node = 0.0, -1
+    near: list[tuple[float, int]] = []  # (cost, node), no letter since
+    seen = first
+    letters = False
+    for place, cost in gaps:
+        if any(c.isalnum() for c in line[seen:place]):
+            for c, node in near:
+                if c < best_cost:
+                    best_cost, best_node = c, node
+            near, letters = [], True
+        seen = place
+        options = [(c + EMPTY, node) for c, node in near]
+        options.append((best_cost + (0.0 if letters else EMPTY), best_node))
+        c, node = min(options)
+        nodes.append((place, node))
+        near.append((c + cost, len(nodes) - 1))
+        near = sorted(near)[:2] if len(near) > 2 else near  # a dearer one of these can't become the best
+    c, node = min([*near, (best_cost, best_node)])
+    out = []
+    while node >= 0:
+        out.append(nodes[node][0])
+        node = nodes[node][1]
+    return out[::-1]
+
+
 def _line_units(line: str) -> list[int]:
     """Offsets in the line behind its units."""
     stop = len(line.rstrip())
@@ -239,26 +353,35 @@ def _line_units(line: str) -> list[int]:
     marker = _MARKER.match(line)
     first = marker.end() if marker and marker.end() < stop else 0
     script = _script(line)
-    spans = _spans(line) if any(c in line for c in "\"“«„「『（(‘") else []
-    gaps = []
+    marks = _Marks(line)
+    words = Words(line) if script == "cjk" else None
+    clauses = [m.start() for m in _SPOKEN.finditer(line)] if words else []
+    gaps: list[tuple[int, float, int]] = []  # (end, cost, the quotation or bracket it is in)
     for m in _TERMINATED.finditer(line, first):
         end = m.end()
-        if line[m.start() : end].endswith("“") and end < stop and not (end < len(line) and line[end].isspace()) and not any(b == end - 1 for _, b in spans):
+        if line[end - 1] == "“" and end < stop and not line[end].isspace() and end - 1 not in marks.opened:
             end -= 1  # it opens the next quotation
             while end > m.start() + 1 and line[end - 1] == "“":
                 end -= 1
         if end >= stop:
             break
-        if _ends(line, m.start(), end, spans, script == "cjk"):
-            gaps.append(end)
-    if script == "cjk":
-        gaps += _bare_ends(line, first, spans)
-    if "฀" <= max(line) and script == "thai":
+        if (cost := _cost(line, m.start(), end, marks, words, clauses)) is not None:
+            gaps.append((end, cost, marks.around(m.start(), end)))
+    if words:
+        gaps += [(end, cost, marks.around(end, end + 1)) for end, cost in _bare_gaps(line, first, words, clauses)]
+    if script == "thai":
+        lead = _SPACES.match(line).end()
         for m in _THAI_GAP.finditer(line, first):
-            lead = line[: m.start()]
-            if lead.strip() and not (marker and m.end() <= marker.end()) and not _QUESTION_MARKER.search(lead):
-                gaps.append(len(lead.rstrip()))
-    return sorted({g for g in gaps if g < stop}) + [stop]
+            end = m.start()
+            if m.end() > first and not (marker and m.end() <= marker.end()) and end > lead and not _QUESTION_MARKER.search(line, max(0, end - 12), end):
+                gaps.append((end, -SURELY, -1))
+    # a quotation is kept whole, or torn where the breaks in it are worth more than that
+    worth: dict[int, float] = {}
+    for _, cost, k in gaps:
+        if k >= 0 and cost < 0:
+            worth[k] = worth.get(k, 0.0) + cost
+    kept = sorted((end, cost) for end, cost, k in gaps if end < stop and (k < 0 or worth.get(k, 0.0) + TEAR < 0))
+    return sorted(set(_cheapest(line, first, kept))) + [stop]
 
 
 def units(text: str) -> list[int]:

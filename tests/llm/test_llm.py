@@ -338,6 +338,41 @@ def test_units_without_terminators(source, want):
     assert [source[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)] == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("He met Mgmt. Smith there.", ["He met Mgmt. Smith there."]),
+        ("He lives in the U.S. She does not.", ["He lives in the U.S.", "She does not."]),
+        ("She works for the U.S. Treasury now.", ["She works for the U.S. Treasury now."]),
+        ('He said "One. Two. Three." and left.', ['He said "One. Two. Three." and left.']),
+        ("他写道：“" + "天气很好。" * 3 + "”", ["他写道：“" + "天气很好。" * 3 + "”"]),
+    ],
+)
+def test_paths_through_the_lattice(source, want):
+    ends = SE.units(source)
+    assert [source[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)] == want
+
+
+def test_a_long_quotation_is_torn():
+    source = "She read: “" + "It was a long day. " * 40 + "The end.” Then she slept."
+    assert len(SE.units(source)) > 30
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    for part in ("This is one sentence, by Dr. Smith! ", "记录已经核对过了吗？“好的。”前台说道。", "ผู้ใช้อ่านไฟล์ ระบบปิด ", "\"Yes.\" he said (twice.) "):
+        began = time.perf_counter()
+        SE.units(part * (500_000 // len(part)))
+        assert time.perf_counter() - began < 4, part
+
+
+def test_segmentation_is_the_cheapest():
+    w = SE.Words("しかし行きました。または明日")
+    assert w.kind_at(0) == "opening" and w.ends[8] == "した"
+    assert w.kind_at(9) == "joining"
+
+
 def test_units_keep_all_text(spark):
     r = random.Random(8)
     for _ in range(200):
