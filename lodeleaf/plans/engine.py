@@ -15,6 +15,7 @@ from lodeleaf.functions.embedding import Embedder, get_embedder, tokens_of
 from lodeleaf.operators import chunking, evaluate, sections
 from lodeleaf.operators.answer import Answer, ChatGenerator, Citation, ExtractiveGenerator, Generator, TreeReasoner
 from lodeleaf.operators.filters import tag_set, visible_to
+from lodeleaf.plans import retrieve as R
 from lodeleaf.plans.retrieve import candidates, prepared, retrieve
 from lodeleaf.sources import audit_log, files
 from lodeleaf.sources.audit_log import AuditLog
@@ -141,7 +142,7 @@ class Engine:
 
     def _reasoned(self, query: str, q: DataFrame, config: Config) -> DataFrame | None:
         ready = prepared(q, config, self.embedder)
-        ranked = candidates(ready, self.store.chunks, config, config.top_k).join(self.store.chunks.select("chunk_id", "text", "section"), "chunk_id")
+        ranked = candidates(ready, R.ready(self.store.chunks, config.hybrid), config, config.top_k).join(self.store.chunks.select("chunk_id", "text", "section"), "chunk_id")
         tree = self.store.sections.withColumnRenamed("doc_id", "id")
         nodes = sections.scores(ranked, tree).filter(F.col("place") <= max(1, self.config.reasoning_candidates))
         rows = nodes.join(sections.snippets(ranked), ["query_id", "section"], "left").orderBy("place").collect()

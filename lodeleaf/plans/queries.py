@@ -73,13 +73,6 @@ def _words(spark: SparkSession) -> DataFrame:
     return retrieve.prepared(spark.createDataFrame(_WORDS, _QUERY_DDL).withColumn("vec", F.array(F.lit(0.0))), Config(), None)
 
 
-def _examples(spark: SparkSession, d: str, n: int = 3) -> DataFrame:
-    """The first chunks with a vector, as queries: their texts and vectors."""
-    first = _vectors(spark, d).filter("text is not null").orderBy("chunk_id").limit(n)
-    numbered = first.withColumn("query_id", F.row_number().over(W.orderBy("chunk_id"))).select("query_id", F.col("text").alias("query"), "vec")
-    return cut(retrieve.prepared(numbered, Config(history_turns=0), None))
-
-
 def _id(c: str) -> Column:
     """A number for a text id: the first 60 bits of its MD5."""
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
@@ -136,8 +129,8 @@ def _bm25_sql(docs: str, queries: str, sees: str) -> str:
     lx AS (SELECT n.query_id, n.chunk_id, n.doc_id, n.seq, coalesce(s.lex, 0.0::DOUBLE) AS lex FROM seen n LEFT JOIN s ON s.query_id = n.query_id AND s.chunk_id = n.chunk_id)"""
 
 
-_EXAMPLES_SQL = "q AS (SELECT row_number() OVER (ORDER BY chunk_id) AS query_id, text AS query, vec AS q_vec FROM (SELECT * FROM v WHERE text IS NOT NULL ORDER BY chunk_id LIMIT 3))"
-_SCORED_SQL = f"""WITH {_C}, {_V}, {_bm25_sql("v", _EXAMPLES_SQL, "true")},
+_FIFTIETH_SQL = "q AS (SELECT * FROM (SELECT ('0x' || substr(md5(chunk_id), 1, 15))::BIGINT AS query_id, text AS query, vec AS q_vec FROM v WHERE text IS NOT NULL) WHERE query_id % 50 = 0)"
+_SCORED_SQL = f"""WITH {_C}, {_V}, {_bm25_sql("v", _FIFTIETH_SQL, "true")},
     vx AS (SELECT q.query_id, v.chunk_id, v.doc_id, v.seq, CASE WHEN len(v.vec) = len(q.q_vec) THEN list_reduce(list_transform(range(1, len(v.vec) + 1), lambda i: v.vec[i] * q.q_vec[i]), lambda a, b: a + b, 0.0::DOUBLE) END AS vec_score FROM v, q),
     rv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_score DESC NULLS LAST, doc_id, seq, chunk_id) AS vec_rank FROM vx),
     rl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, doc_id, seq, chunk_id) AS lex_rank FROM lx),
@@ -147,9 +140,15 @@ _SCORED_SQL = f"""WITH {_C}, {_V}, {_bm25_sql("v", _EXAMPLES_SQL, "true")},
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_rank NULLS LAST, lex_rank NULLS LAST) AS rank FROM rrf)"""
 
 
-def _ranking(spark: SparkSession, d: str, config: Config | None = None, q: DataFrame | None = None) -> DataFrame:
+def _by_block(spark: SparkSession, d: str, f: Callable[[DataFrame, DataFrame], DataFrame], lexical_too: bool = True) -> DataFrame:
+    """Of each block of the query set, with all chunks."""
+    rows = retrieve.ready(_vectors(spark, d), lexical_too)
+    return reduce(DataFrame.unionByName, [f(q, rows) for q in retrieve.query_blocks(_fiftieth(spark, d))])
+
+
+def _ranking(spark: SparkSession, d: str, config: Config | None = None) -> DataFrame:
     c = config or Config()
-    return retrieve.candidates(_examples(spark, d) if q is None else q, _vectors(spark, d), c, c.top_k)
+    return _by_block(spark, d, lambda q, rows: retrieve.candidates(q, rows, c, c.top_k))
 
 
 def _r(c: str):
@@ -295,14 +294,14 @@ def bm25_acl_scoped(spark, d):
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(lex, 6) AS lex, lex_rank AS rank FROM rl WHERE lex_rank <= 10")
-def bm25_topk(spark, d, q=None):
-    rows = retrieve.scored(_examples(spark, d) if q is None else q, _vectors(spark, d))
+def bm25_topk(spark, d):
+    rows = _by_block(spark, d, lambda q, rows: retrieve.scored(q, rows, 10))
     return fusion.top(rows, "lex", "rank", 10).select("query_id", "chunk_id", _r("lex"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(vec_score, 6) AS vec_score, vec_rank AS rank FROM rv WHERE vec_rank <= 10")
-def vector_topk(spark, d, q=None):
-    rows = retrieve.scored(_examples(spark, d) if q is None else q, _vectors(spark, d), False)
+def vector_topk(spark, d):
+    rows = _by_block(spark, d, lambda q, rows: retrieve.scored(q, rows, 10, False), False)
     return fusion.vector_only(rows, 10).select("query_id", "chunk_id", _r("vec_score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -312,8 +311,8 @@ def vector_norms(spark, d):
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fused")
-def hybrid_rrf(spark, d, q=None):
-    return _ranking(spark, d, q=q).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
+def hybrid_rrf(spark, d):
+    return _ranking(spark, d).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _WEIGHTED = """, m AS (SELECT *, min(vec_score) OVER w AS v0, max(vec_score) OVER w AS v1, min(lex) OVER w AS l0, max(lex) OVER w AS l1 FROM pool WINDOW w AS (PARTITION BY query_id)),
@@ -321,13 +320,13 @@ _WEIGHTED = """, m AS (SELECT *, min(vec_score) OVER w AS v0, max(vec_score) OVE
 
 
 @query(_SCORED_SQL + _WEIGHTED + " SELECT query_id, chunk_id, round(ws, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY ws DESC, vec_rank NULLS LAST, lex_rank NULLS LAST) AS rank FROM s2")
-def hybrid_weighted(spark, d, q=None):
-    return _ranking(spark, d, Config(hybrid_mode="weighted"), q).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
+def hybrid_weighted(spark, d):
+    return _ranking(spark, d, Config(hybrid_mode="weighted")).select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_SCORED_SQL + " SELECT query_id, chunk_id, round(score, 6) AS score FROM fused WHERE score >= 0.02")
-def min_score_filter(spark, d, q=None):
-    return fusion.at_least(_ranking(spark, d, q=q), 0.02).select("query_id", "chunk_id", _r("score"))
+def min_score_filter(spark, d):
+    return fusion.at_least(_ranking(spark, d), 0.02).select("query_id", "chunk_id", _r("score"))
 
 
 _MMR_POOL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -375,20 +374,14 @@ _NODES_SQL = f"""{_SCORED_SQL}, {_SECTION_SQL},
         FROM (SELECT DISTINCT query_id, doc_id FROM cand) s JOIN tree t ON t.doc_id = s.doc_id JOIN best b ON b.query_id = s.query_id AND b.section = t.path)"""
 
 
-def _candidates(spark, d, q=None) -> DataFrame:
-    return cut(_ranking(spark, d, q=q).join(_chunks(spark, d).select("chunk_id", "section", "text", "start_pos"), "chunk_id"))
-
-
-@query(_NODES_SQL + " SELECT query_id, section, CAST(level AS INTEGER) AS level, round(score, 6) AS score, place FROM nodes WHERE place <= 20")
-def section_scores(spark, d, q=None):
-    nodes = sections.scores(_candidates(spark, d, q), _tree(spark, d))
-    return nodes.filter("place <= 20").select("query_id", "section", "level", _r("score"), F.col("place").cast("long").alias("place"))
+def _candidates(spark, d) -> DataFrame:
+    return cut(_ranking(spark, d).join(_chunks(spark, d).select("chunk_id", "section", "text", "start_pos"), "chunk_id"))
 
 
 @query(_NODES_SQL + " SELECT query_id, section, CAST(level AS INTEGER) AS level, round(score, 6) AS score, place FROM nodes")
-def section_scores_all(spark, d, q=None):
+def section_scores(spark, d):
     """Every scored section, as sections.scores gives them."""
-    nodes = sections.scores(_candidates(spark, d, q), _tree(spark, d))
+    nodes = sections.scores(_candidates(spark, d), _tree(spark, d))
     return nodes.select("query_id", "section", "level", _r("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -398,15 +391,15 @@ def section_scores_all(spark, d, q=None):
     a AS (SELECT *, max(passes::INT) OVER (PARTITION BY query_id) = 1 AND query_id IN (SELECT query_id FROM sel) AS active FROM k)
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN active THEN CASE WHEN coalesce(section, '') = '' OR place IS NULL THEN 1073741824 ELSE place END END NULLS FIRST, CASE WHEN active THEN start_pos END NULLS FIRST, rank) AS rank
     FROM a WHERE NOT active OR passes""")
-def section_filter(spark, d, q=None):
-    rows = _candidates(spark, d, q)
+def section_filter(spark, d):
+    rows = _candidates(spark, d)
     chosen = sections.first_sections(sections.scores(rows, _tree(spark, d)), 3)
     return sections.keep_selected(rows, chosen).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_NODES_SQL + " SELECT query_id, section, substr(arg_max(text, score * 1e6 - rank * 1e-3), 1, 200) AS snippet FROM cand WHERE coalesce(section, '') <> '' GROUP BY 1, 2")
-def section_snippets(spark, d, q=None):
-    return sections.snippets(_candidates(spark, d, q))
+def section_snippets(spark, d):
+    return sections.snippets(_candidates(spark, d))
 
 
 # --- answers and evaluation
@@ -420,22 +413,22 @@ _PICKED_SQL = f"""{_SCORED_SQL},
     picked AS (SELECT query_id, position, pick, sentence_no, {_strip_sql("sentence")} AS sentence, overlap FROM pk WHERE pick <= 2)"""
 
 
-def _citations(spark, d, block=None) -> DataFrame:
-    q = (_examples(spark, d) if block is None else block).select("query_id", "query")
-    top = _ranking(spark, d, q=block).filter("rank <= 3").select("query_id", F.col("rank").alias("position"), "chunk_id")
+def _citations(spark, d) -> DataFrame:
+    q = _fiftieth(spark, d).select("query_id", "query")
+    top = _ranking(spark, d).filter("rank <= 3").select("query_id", F.col("rank").alias("position"), "chunk_id")
     return top.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(q, "query_id")
 
 
 @query(_PICKED_SQL + " SELECT query_id, position, pick, sentence_no, sentence, overlap FROM picked WHERE sentence <> ''")
-def sentence_pick(spark, d, q=None):
-    p = answer.picked_sentences(_citations(spark, d, q))
+def sentence_pick(spark, d):
+    p = answer.picked_sentences(_citations(spark, d))
     return p.select("query_id", F.col("position").cast("long").alias("position"), F.col("pick").cast("long").alias("pick"), F.col("sentence_no").cast("long").alias("sentence_no"), "sentence", F.col("overlap").cast("long").alias("overlap"))
 
 
 @query(_PICKED_SQL + """, lines AS (SELECT query_id, position, string_agg(sentence, ' ' ORDER BY pick) || ' [' || position || ']' AS line FROM picked WHERE sentence <> '' GROUP BY 1, 2)
     SELECT query_id, string_agg(line, chr(10) ORDER BY position) AS answer FROM lines GROUP BY 1""")
-def extractive_answer(spark, d, q=None):
-    return answer.extractive(_citations(spark, d, q))
+def extractive_answer(spark, d):
+    return answer.extractive(_citations(spark, d))
 
 
 @query(f"WITH {_C}, {_LATEST} SELECT chunk_id, coalesce(title, '') || '#p' || page || ':' || start_pos || '-' || end_pos || CASE WHEN coalesce(section, '') <> '' THEN ' (' || section || ')' ELSE '' END AS location FROM c JOIN latest USING (doc_id)")
@@ -490,16 +483,8 @@ def forget_antijoin(spark, d):
     return _chunks(spark, d).select("doc_id", "acl").join(gone, "doc_id", "left_anti").groupBy("acl").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_LATEST} SELECT doc_id, title, array_to_string(list_sort(list_distinct(coalesce(tags, []))), ',') AS tags, row_number() OVER (ORDER BY updated_at DESC, doc_id) AS place FROM latest QUALIFY place <= 100")
-def docs_listing(spark, d):
-    """The first page of the listing, newest first."""
-    rows = _latest(spark, d).select("doc_id", "title", F.array_join(filters.tag_set(F.col("tags")), ",").alias("tags"), "updated_at")
-    page = rows.orderBy(F.desc("updated_at"), "doc_id").limit(100)
-    return page.withColumn("place", F.row_number().over(W.orderBy(F.desc("updated_at"), "doc_id")).cast("long")).drop("updated_at")
-
-
 @query(f"WITH {_LATEST} SELECT doc_id, title, array_to_string(list_sort(list_distinct(coalesce(tags, []))), ',') AS tags, row_number() OVER (ORDER BY updated_at DESC, doc_id) AS place FROM latest")
-def docs_listing_all(spark, d):
+def docs_listing(spark, d):
     """The whole listing; places are counted within days, behind the documents of all later days."""
     rows = _latest(spark, d).select("doc_id", "title", F.array_join(filters.tag_set(F.col("tags")), ",").alias("tags"), "updated_at", F.to_date("updated_at").alias("day"))
     later = W.orderBy(F.desc_nulls_last("day")).rowsBetween(W.unboundedPreceding, -1)
@@ -562,20 +547,14 @@ def event_hours(spark, d):
 # --- no SQL: checked against brute force in the tests
 
 
-@query()
+@query("SELECT count(DISTINCT item_id) AS entries, (count(DISTINCT item_id) + 1) // 2 AS line, 'content does not fit its hash' AS problem FROM incoming")
 def chain_verify(spark, d):
-    """A log with a changed entry in the middle; its first bad line."""
-    import json
-
-    lines, prev = [], audit_log.GENESIS
-    for r in _table(spark, d, "region").orderBy("r_regionkey").collect():
-        entry = {"ts": 1.5, "prev": prev, "event": {"type": "query", "region": r["r_name"]}}
-        prev = audit_log.entry_hash(1.5, prev, entry["event"])
-        lines.append(audit_log.canonical(entry | {"hash": prev}))
-    changed = json.loads(lines[2])
-    changed["event"]["region"] = "changed"
-    lines[2] = audit_log.canonical(changed)
-    return audit_log.verify_lines(spark.createDataFrame(list(enumerate(lines, 1)), "line long, value string"))
+    """The log that all deliveries make, with its middle entry changed: its first bad line."""
+    items = _table(spark, d, "incoming").groupBy("item_id").agg(F.min("batch_no").alias("batch_no"))
+    event = items.select("item_id", "batch_no", F.lit(1.5).alias("ts"), F.to_json(F.struct(F.lit("query").alias("type"), F.col("item_id").alias("item"))).alias("event"))
+    lines = cut(audit_log.log_lines(event, ["batch_no", "item_id"], "ts", "event"))
+    middle = F.col("line") == F.floor((F.lit(lines.count()) + 1) / 2)
+    return audit_log.verify_lines(lines.withColumn("value", F.when(middle, F.regexp_replace("value", '"item":', '"item":9')).otherwise(F.col("value"))))
 
 
 @query()
@@ -588,7 +567,7 @@ def hashed_vector_topk(spark, d):
     e = HashingEmbedder()
     docs = _documents(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("seq"), "text", F.lit("public").alias("acl"), F.array().cast("array<string>").alias("tags"), e.column(F.col("text")).alias("vec"))
     q = retrieve.prepared(spark.createDataFrame(_WORDS[:2], _QUERY_DDL), Config(), e)
-    return fusion.vector_only(retrieve.scored(q, docs, False), 10).select("query_id", "chunk_id", "score", "rank")
+    return fusion.vector_only(retrieve.scored(q, retrieve.ready(docs, False), 10, False), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 @query()
@@ -598,26 +577,8 @@ def html_extract(spark, d):
 
 
 @query()
-def retrieve_full(spark, d, q=None):
+def retrieve_full(spark, d):
     """The whole pipeline: pools, fusion, sections, diversity, citations."""
-    q = (_examples(spark, d) if q is None else q).select("query_id", "query", F.col("q_vec").alias("vec"))
+    q = _fiftieth(spark, d).select("query_id", "query", F.col("q_vec").alias("vec"))
     tree = _table(spark, d, "sections").select("doc_id", "section", F.col("depth").alias("level"), F.col("ordinal_no").alias("ordinal"), "parent").distinct()
     return retrieve.retrieve(q, _vectors(spark, d), _latest(spark, d), tree, Config(history_turns=0))[0]
-
-
-# --- the same searches with the whole query set, in blocks
-
-_FIFTIETH_SQL = "q AS (SELECT * FROM (SELECT ('0x' || substr(md5(chunk_id), 1, 15))::BIGINT AS query_id, text AS query, vec AS q_vec FROM v WHERE text IS NOT NULL) WHERE query_id % 50 = 0)"
-
-
-def _add_batch(f: Callable[..., DataFrame]) -> None:
-    def batch(spark: SparkSession, d: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [f(spark, d, q) for q in retrieve.query_blocks(_fiftieth(spark, d))])
-
-    QUERIES[f"{f.__name__}_batch"] = batch
-    if f.__name__ in ORACLE:
-        ORACLE[f"{f.__name__}_batch"] = ORACLE[f.__name__].replace(_EXAMPLES_SQL, _FIFTIETH_SQL)
-
-
-for _f in (bm25_topk, vector_topk, hybrid_rrf, hybrid_weighted, min_score_filter, section_scores_all, section_filter, section_snippets, sentence_pick, extractive_answer, retrieve_full):
-    _add_batch(_f)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from lodeleaf.config import Config
 from lodeleaf.functions import text as T
 from lodeleaf.functions.embedding import Embedder
-from lodeleaf.functions.vectors import dot
 from lodeleaf.operators import fusion, lexical, mmr, sections
 from lodeleaf.operators.filters import visible
+from lodeleaf.plans import block
 from lodeleaf.sources.lineage import cut
 
 BLOCK = 500  # queries that are broadcast at once
@@ -50,19 +50,28 @@ def pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(F.broadcast(queries), seen, "inner")
 
 
-def scored(queries: DataFrame, chunks: DataFrame, lexical_too: bool = True) -> DataFrame:
-    """(query_id, top_k, chunk_id, doc_id, seq, vec_score, lex) of all visible chunks; vectors of another size than the query's have no score."""
-    needed = chunks.select("chunk_id", "doc_id", "seq", "text", "acl", "tags", "vec")
-    rows = pairs(queries, lexical.tokenized(needed) if lexical_too else needed)
-    keys = ["query_id", "top_k", "chunk_id", "doc_id", "seq", dot(F.col("vec"), F.col("q_vec")).alias("vec_score")]
-    if not lexical_too:
-        return rows.select(*keys)
-    return lexical.scores(lexical.frequencies(rows.select(*keys, "q_terms", "tokens"))).drop("q_terms")
+def ready(chunks: DataFrame, lexical_too: bool = True) -> DataFrame:
+    """Chunks with their tokens: those of the store, or tokenized once for all blocks and passes."""
+    stored = "tokens" in chunks.columns
+    if lexical_too and stored:
+        chunks = chunks.withColumn("tokens", F.coalesce("tokens", T.tokenize(F.coalesce("text", F.lit("")))))  # older rows have none
+    elif lexical_too:
+        chunks = lexical.tokenized(chunks)
+    elif not stored:
+        chunks = chunks.withColumn("tokens", F.lit(None).cast("array<string>"))
+    needed = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("int").alias("seq"), "acl", "tags", F.col("vec").cast("array<double>").alias("vec"), "tokens")
+    return cut(needed) if lexical_too and not stored else needed
+
+
+def scored(queries: DataFrame, chunks: DataFrame, limit: int, lexical_too: bool = True) -> DataFrame:
+    """(query_id, top_k, chunk_id, doc_id, seq, vec_score, lex) of visible chunks, so many of the best by either score for each
+    query (and more); vectors of another size than the query's have no score."""
+    return block.scored(queries, chunks, limit, lexical_too)
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, config: Config, most_k: int) -> DataFrame:
     """(query_id, chunk_id, doc_id, seq, vec_score, lex, vec_rank, lex_rank, score, rank), the fused ranking before any filter."""
-    rows = scored(queries, chunks, config.hybrid)
+    rows = scored(queries, chunks, max(config.candidate_pool, 4 * most_k), config.hybrid)
     if not config.hybrid:
         return fusion.vector_only(rows, config.candidate_pool, most_k)
     return fusion.fuse(fusion.pools(rows, config.candidate_pool, most_k), config.hybrid_mode, config.bm25_weight)
@@ -74,10 +83,11 @@ def retrieve(queries: DataFrame, chunks: DataFrame, documents: DataFrame, tree:
     chunks, documents and tree: as in the store.  selected: (query_id, section, place), sections that were chosen
     elsewhere and take the place of the best ones."""
     found, scored_sections = [], []
-    ready = cut(prepared(queries, config, embedder))
-    most_k = max(config.top_k, ready.agg(F.max("top_k")).first()[0] or 0)
-    for block in query_blocks(ready):
-        ranked = candidates(block, chunks, config, most_k)
+    asked = cut(prepared(queries, config, embedder))
+    most_k = max(config.top_k, asked.agg(F.max("top_k")).first()[0] or 0)
+    rows = ready(chunks, config.hybrid)
+    for part in query_blocks(asked):
+        ranked = candidates(part, rows, config, most_k)
         # a few rows for each query; rows and vectors come back by a join that starts from these
         details = chunks.select("chunk_id", "text", "page", "start_pos", "end_pos", "section", "acl", "tags", "vec")
         ranked = cut(cut(ranked).join(details, "chunk_id"))  # at most two pools of rows for each query

@@ -39,16 +39,31 @@ class AuditLog:
         self.path = path
 
     def _head(self) -> str:
-        """Hash of the last entry, up to the first line that can't be read."""
-        head = GENESIS
-        if os.path.exists(self.path):
-            with open(self.path, encoding="utf-8") as lines:
+        """Hash of the last entry, read from the end of the file; of a last line that can't be read, up to the first such line."""
+        if not os.path.exists(self.path):
+            return GENESIS
+        try:
+            last = self._last_line()
+            return json.loads(last).get("hash", GENESIS) if last else GENESIS
+        except (ValueError, AttributeError):
+            head = GENESIS
+            with open(self.path, encoding="utf-8", errors="replace") as lines:
                 for line in filter(str.strip, lines):
                     try:
                         head = json.loads(line).get("hash", head)
-                    except ValueError:
+                    except (ValueError, AttributeError):
                         break
-        return head
+            return head
+
+    def _last_line(self) -> str:
+        with open(self.path, "rb") as log:
+            at, tail = log.seek(0, os.SEEK_END), b""
+            while at and b"\n" not in tail.strip():
+                step = min(at, 1 << 16)
+                at -= step
+                log.seek(at)
+                tail = log.read(step) + tail
+            return tail.strip().rpartition(b"\n")[2].decode()
 
     def append_all(self, events: list[dict], now: float | None = None) -> list[str]:
         """Appends events in order; their hashes."""
@@ -88,9 +103,11 @@ class AuditLog:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file, from 1; numbers hold for one file, which is read in one stretch to keep its order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "value"))
-    return rows.select((F.col("i") + 1).cast("long").alias("line"), "value")
+    """(line, value) of a text file, from 1.  The file is read in splits; what is counted is a row for each of them."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    order = W.orderBy("file", "at").rowsBetween(W.unboundedPreceding, -1)  # over splits
+    splits = rows.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    return rows.join(splits.select("file", "at", "first", "before"), ["file", "at"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
 _ENTRY = Ty.StructType([Ty.StructField("ok", Ty.BooleanType()), *(Ty.StructField(n, Ty.StringType()) for n in ("prev", "hash", "computed"))])
@@ -108,15 +125,41 @@ def _read_entry(value: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(v) for v in value], columns=["ok", "prev", "hash", "computed"])
 
 
+PART = 1_000_000  # lines whose links are checked in one task
+
+
 def verify_lines(lines: DataFrame) -> DataFrame:
-    """One row: entries, and line and problem of the first bad one, if any.  Hashes are computed in parallel."""
-    read = lines.filter(F.trim("value") != "").withColumn("e", _read_entry("value")).select("line", "e.*")
-    before = F.lag("hash", 1, GENESIS).over(W.orderBy("line"))  # three short strings an entry, in one task
+    """One row: entries, and line and problem of the first bad one, if any.
+
+    Hashes are computed in parallel, links are checked in parts of PART lines; of each part its last hash goes to the next."""
+    part = F.floor((F.col("line") - 1) / PART).alias("part")
+    read = lines.filter(F.trim("value") != "").withColumn("e", _read_entry("value")).select("line", part, "e.*")
+    ends = read.groupBy("part").agg(F.max_by("hash", "line").alias("last"))
+    heads = ends.select("part", F.lag("last", 1, GENESIS).over(W.orderBy("part")).alias("head"))  # a row for each part
+    before = F.coalesce(F.lag("hash").over(W.partitionBy("part").orderBy("line")), F.when(F.row_number().over(W.partitionBy("part").orderBy("line")) == 1, F.col("head")))
     problem = F.when(~F.col("ok"), "not valid JSON").when(~F.col("computed").eqNullSafe(F.col("hash")), "content does not fit its hash").when(~F.col("prev").eqNullSafe(before), "does not follow the entry before")
-    checked = read.withColumn("problem", problem)
+    checked = read.join(heads, "part").withColumn("problem", problem)
     return checked.agg(F.count("*").alias("entries"), F.min(F.when(F.col("problem").isNotNull(), F.struct("line", "problem"))).alias("x")).select("entries", "x.line", "x.problem")
 
 
+def log_lines(events: DataFrame, order: list[str], ts: str, event: str) -> DataFrame:
+    """(line, value): the log that events make in an order, with a time (a number) and a JSON object of each; one task, as of ``chain``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, prev = 0, GENESIS
+        for batch in batches:
+            rows = []
+            for t, body in zip(batch["ts"], batch["event"], strict=True):
+                n += 1
+                entry = {"ts": float(t), "prev": prev, "event": json.loads(body)}
+                prev = entry_hash(entry["ts"], prev, entry["event"])
+                rows.append((n, canonical(entry | {"hash": prev})))
+            yield pd.DataFrame(rows, columns=["line", "value"])
+
+    one = events.select(*order, F.col(ts).cast("double").alias("ts"), F.col(event).alias("event")).repartition(1).sortWithinPartitions(*order)
+    return one.mapInPandas(run, "line long, value string")
+
+
 def chain(events: DataFrame, order: list[str], body: Column) -> DataFrame:
     """(n, prev, hash) of events in an order: each hash is of the one before, a bar and the body.
 

@@ -36,7 +36,7 @@ def ready(spark, rows, **config):
 
 def test_bm25_is_scoped_to_what_a_query_sees(spark):
     q = ready(spark, [(1, "beta 中 alpha beta", None, None, [1.0, 0.0]), (2, "alpha", ["public"], None, [1.0, 0.0]), (3, "beta", None, ["x"], [1.0]), (4, "beta", [], None, [1.0, 0.0]), (5, "", None, None, [0.0, 0.0])])
-    rows = retrieve.scored(q, chunks(spark)).collect()
+    rows = retrieve.scored(q, retrieve.ready(chunks(spark)), 10).collect()
     ids = [f"d{i // 2}:{i % 2}" for i in range(len(TEXTS))]
     for qid, query, seen in ((1, "beta 中 alpha", range(7)), (2, "alpha", [0, 1, 2, 3, 5, 6]), (3, "beta", [1, 3, 5]), (4, "beta", []), (5, "", range(7))):
         got = {r.chunk_id: r.lex for r in rows if r.query_id == qid}
@@ -115,7 +115,7 @@ def test_evaluation(spark):
     assert tuple(evaluate.summary(ranks.limit(0), 3).first()) == (0, 0.0, 0.0)
 
 
-def test_batch_searches_take_every_id_divisible_by_50(spark, tmp_path, monkeypatch):
+def test_searches_take_every_id_divisible_by_50(spark, tmp_path, monkeypatch):
     import hashlib
 
     rng = np.random.default_rng(3)
@@ -131,25 +131,42 @@ def test_batch_searches_take_every_id_divisible_by_50(spark, tmp_path, monkeypat
     for q in queries:
         best = sorted(rows, key=lambda r: (-float(np.dot(r[6], q[6])), r[1], r[2]))[:10]
         want[number[q[0]]] = [r[0] for r in best]
-    got = Q.QUERIES["vector_topk_batch"](spark, str(tmp_path)).collect()
+    got = Q.QUERIES["vector_topk"](spark, str(tmp_path)).collect()
     assert {k: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == k] for k in {r.query_id for r in got}} == want
-    assert {r.query_id for r in Q.QUERIES["bm25_topk_batch"](spark, str(tmp_path)).collect()} == set(want)
+    assert {r.query_id for r in Q.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()} == set(want)
 
 
-def test_docs_listing_all_has_every_document(spark, tmp_path):
+def test_docs_listing_has_every_document(spark, tmp_path):
     import datetime as dt
 
     rows = [(f"d{i:03d}", f"t{i}", None, ["b", "a"], dt.datetime(2024, 1, 1 + i % 9, i % 5)) for i in range(260)]
     spark.createDataFrame(rows, "doc_id string, title string, source_hash string, tags array<string>, updated_at timestamp").write.parquet(str(tmp_path / "kb_documents.parquet"))
-    got = sorted(Q.QUERIES["docs_listing_all"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    got = sorted(Q.QUERIES["docs_listing"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
     assert [r.doc_id for r in got] == [r[0] for r in sorted(rows, key=lambda r: (-r[4].timestamp(), r[0]))]
     assert [r.place for r in got] == list(range(1, 261)) and got[0].tags == "a,b"
 
 
-def test_section_scores_all_keeps_places_beyond_20(spark, monkeypatch):
+def test_section_scores_keeps_places_beyond_20(spark, monkeypatch):
     ranked = spark.createDataFrame([(1, f"c{i}", "d", f"S{i:02d}", 1.0 - i / 100) for i in range(30)], "query_id long, chunk_id string, doc_id string, section string, score double")
     tree = spark.createDataFrame([("d", f"S{i:02d}", 1, i, None) for i in range(30)], "id string, section string, level int, ordinal int, parent string")
     monkeypatch.setattr(Q, "_candidates", lambda *a: ranked)
     monkeypatch.setattr(Q, "_tree", lambda *a: tree)
-    got = Q.QUERIES["section_scores_all"](spark, "").collect()
+    got = Q.QUERIES["section_scores"](spark, "").collect()
     assert {(r.section, r.place) for r in got} == {(f"S{i:02d}", i + 1) for i in range(30)}
+
+
+def test_tasks_keep_the_best_of_many_batches(spark, monkeypatch):
+    """Ties go by document and place, across batches and compactions; what isn't seen takes no part."""
+    from lodeleaf.plans import block
+
+    monkeypatch.setattr(block, "ROWS", 3)
+    rows = [(f"d{i % 7}:{i}", f"d{i % 7}", i, "alpha" if i % 3 else "alpha beta", "public" if i % 2 else "team", ["x"], [float(i % 4), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, seq int, text string, acl string, tags array<string>, vec array<double>").coalesce(1)
+    q = ready(spark, [(1, "beta", None, None, [1.0, 0.0]), (2, "alpha", ["team"], None, [1.0, 0.0]), (3, "none", [], None, [1.0, 0.0])])
+    got = retrieve.scored(q, retrieve.ready(df), 5)
+    for qid, seen in ((1, rows), (2, [r for r in rows if r[4] == "team"])):
+        best = [r.chunk_id for r in fusion.top(got.filter(F.col("query_id") == qid), "vec_score", "rank", 5).orderBy("rank").collect()]
+        assert best == [r[0] for r in sorted(seen, key=lambda r: (-r[6][0], r[1], r[2]))[:5]]
+    lex = [r.chunk_id for r in fusion.top(got.filter("query_id = 1"), "lex", "rank", 5).orderBy("rank").collect()]
+    assert lex == [r[0] for r in sorted(rows, key=lambda r: (r[3] == "alpha", r[1], r[2]))[:5]] and got.filter("query_id = 3").count() == 0
+    assert retrieve.scored(q.limit(0), retrieve.ready(df), 5).count() == 0 and retrieve.scored(q, retrieve.ready(df.limit(0)), 5).count() == 0
