@@ -92,14 +92,19 @@ def windows(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap:
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap at least 0 and smaller")
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(markdown_col) if markdown_col else F.lit(False)).alias("md")).filter("text is not null")
-    plain = base.filter("not coalesce(md, false)").select("id", "text", F.lit(0).alias("o"), F.lit("").alias("section"), F.lit(0).alias("lo"), F.length("text").alias("hi"))
-    stretches = plain
+    whole = F.array(F.struct(F.lit(0).alias("o"), F.lit("").alias("section"), F.lit(0).alias("lo"), F.length("text").alias("hi")))
+    rows = base.filter("not coalesce(md, false)").select("id", "text", whole.alias("stretches"))
     if markdown_col:
-        marked = base.filter("md")
-        own = sections(marked, "id", "text").select("id", F.col("ordinal").alias("o"), "section", F.col("start").alias("lo"), F.col("end").alias("hi"))
-        stretches = plain.unionByName(marked.select("id", "text").join(own, "id").select(*plain.columns))
-    cut = stretches.select("id", "text", "o", "section", F.explode(window_ends(F.col("text"), F.col("lo"), F.col("hi"), size, overlap)).alias("w"))
-    cut = cut.select("id", "o", "section", "w.start", "w.end", T.strip(F.expr("substring(text, w.start + 1, w.end - w.start)")).alias("text")).filter("text <> ''")
+        marked = base.filter("md").select("id", "text")
+        own = sections(marked, "id", "text").groupBy("id").agg(F.collect_list(F.struct(F.col("ordinal").alias("o"), "section", F.col("start").alias("lo"), F.col("end").alias("hi"))).alias("stretches"))
+        rows = rows.unionByName(marked.join(own, "id").select("id", "text", "stretches"))
+
+    def pieces(s: Column) -> Column:
+        piece = lambda w: F.struct(s["o"].alias("o"), s["section"].alias("section"), w["start"].alias("start"), w["end"].alias("end"), T.strip(F.substring(F.col("text"), w["start"] + 1, w["end"] - w["start"])).alias("text"))
+        return F.transform(window_ends(F.col("text"), s["lo"], s["hi"], size, overlap), piece)
+
+    # cut in the document's row: what is multiplied are the pieces, not the document
+    cut = rows.select("id", F.explode(F.flatten(F.transform("stretches", pieces))).alias("p")).select("id", "p.*").filter("text <> ''")
     seq = F.row_number().over(W.partitionBy("id").orderBy("o", "start")) - 1
     return cut.withColumn("seq", seq.cast("int")).select("id", "seq", "text", "start", "end", "section")
 

@@ -160,6 +160,20 @@ def test_extract():
         files.extract("x.pdf", b"")
 
 
+def test_pdf_pages_with_a_stand_in_reader(monkeypatch):
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.extract_text = lambda: text
+
+    reader = types.SimpleNamespace(PdfReader=lambda stream: types.SimpleNamespace(pages=[Page("first"), Page(None), Page("third page")]))
+    monkeypatch.setitem(sys.modules, "pypdf", reader)
+    text, title, pages = files.extract("/a/x.PDF", b"%PDF")
+    assert (text, title, pages) == ("first\n\nthird page", "x.PDF", [(1, 0), (2, 6), (3, 7)]) and text[7:12] == "third"
+
+
 def test_generators():
     c = Citation("d:0", "d", 0.5, "Alpha one. Beta two! Gamma.", 1, 0, 9, "/p", "T", "public")
     assert ExtractiveGenerator().generate("beta gamma", [c]) == "Beta two! Gamma. [1]" and ExtractiveGenerator().generate("x", []) == NOTHING
@@ -177,9 +191,10 @@ def test_command_line(kb, capsys, tmp_path):
     args = parser().parse_args(["--top-k", "7", "query", "what", "--min-score", "0.1"])
     assert config_of(args).top_k == 7 and config_of(args).min_score == 0.1 and split_list(" a, ,b") == ["a", "b"]
     e, f, _ = kb
-    for line, out in ((["stats"], "documents"), (["docs"], "acl=team"), (["audit-verify"], "PASS"), (["audit-stats"], "queries"), (["query", "C3001", "--acl", "team", "--json"], "citations")):
+    for line, out in ((["stats"], "documents"), (["docs"], "team"), (["audit-verify"], "PASS"), (["audit-stats"], "queries"), (["query", "C3001", "--acl", "team", "--json"], "citations")):
         assert run(parser().parse_args(line), e) == 0 and out in capsys.readouterr().out
     assert run(parser().parse_args(["index", str(f), "--acl", "a,b"]), e) == 2
+    assert run(parser().parse_args(["query", "C3001 installer", "--acl", "team"]), e) == 0 and "In sections: Guide" in capsys.readouterr().out
     assert run(parser().parse_args(["query", "C3001", "--acl", "team", "--md", "--out", str(tmp_path / "o.md")]), e) == 0 and "Citations" in (tmp_path / "o.md").read_text()
 
 
