@@ -14,6 +14,10 @@ GRAM = 9  # code points of a shingle in the measure of TESTDATA.md
 MIN_CHARS = 200  # shorter normalised texts do not count there
 SIMILAR = 0.6
 
+# Whitespace of TESTDATA.md and Python's, as patterns of Java and of SQL.
+BLANKS = r"(?U)[\s\x1c-\x1f\x85]+"
+BLANKS_SQL = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 _BASE = 0x9E3779B97F4A7C15
 _P, _P2, _P4 = (np.uint64(pow(_BASE, k, 1 << 64)) for k in (1, 2, 4))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,6 @@ WINDOW, AVERAGE = 24, 128  # code points hashed; mean distance of landmarks
 # The sentence ends that TESTDATA.md names.
 ENDS = ".!?。！？।؟"
 _CLOSERS = "\"'”’»)]」』）】》"
-_FORCED = re.compile(rf"[^\s{ENDS}]{{{LIMIT + 1},}}")
 _CUTS = [  # kinds of boundaries from the best to the least
     ("section", re.compile(r"\n[^\S\n]*\n\s*|\n(?=#{1,6}\s)")),
     ("line", re.compile(r"[\n\r\f]+")),
@@ -94,9 +94,14 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     return out
 
 
-def is_forced(text: str) -> int:
-    """1 if a stretch of more than 800 code points has no whitespace and no sentence end."""
-    return int(_FORCED.search(text) is not None)
+@cache
+def _forced(limit: int) -> re.Pattern[str]:
+    return re.compile(rf"[^\s{ENDS}]{{{limit + 1},}}")
+
+
+def is_forced(text: str, limit: int = LIMIT) -> int:
+    """1 if a stretch of more code points than the limit has no whitespace and no sentence end."""
+    return int(_forced(limit).search(text) is not None)
 
 
 def _split(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -105,7 +110,7 @@ def _split(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Itera
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text is None or len(text.strip()) <= limit:
                 continue
-            forced = is_forced(text)
+            forced = is_forced(text, limit)
             rows += [(i, k, a, b, text[a:b], kind, forced) for k, (a, b, kind) in enumerate(pieces(text, limit, overlap))]
         yield C.batch_of(_PIECES, *(map(list, zip(*rows, strict=True)) if rows else [[]] * 7))
 
@@ -124,7 +129,9 @@ def split_chunks(chunks: DataFrame, registry: DataFrame, documents: DataFrame, s
     document is taken.  Without the document (it isn't there, or no longer holds the text) start_pos is kept if end_pos fits it, and is null
     otherwise.  section: the deepest section over the piece's start; the chunk's own where there is none."""
     cols = ["chunk_id", "doc_id", "start_pos", "end_pos", "section", "text"]
-    long = chunks.select(cols).filter(F.length("text") > LIMIT).dropDuplicates(["chunk_id"])
+    # of rows with one id the one whose text is cut
+    row = F.min(F.struct("text", *(c for c in cols if c not in ("text", "chunk_id")))).alias("row")
+    long = chunks.select(cols).filter(F.length("text") > LIMIT).groupBy("chunk_id").agg(row).select("chunk_id", "row.*")
     paths = registry.select("doc_id", "path").filter("path is not null").groupBy("doc_id").agg(F.min("path").alias("path"))
     whole = documents.select("path", F.col("text").alias("whole")).filter("path is not null").groupBy("path").agg(F.max("whole").alias("whole"))
     placed = long.join(paths, "doc_id", "left").join(whole, "path", "left")
