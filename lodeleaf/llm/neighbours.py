@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -39,7 +40,8 @@ SPREAD = 500_000  # vectors of a list that is divided for each task
 _PACKED = pa.schema([("id", pa.string()), ("embedder", pa.string()), ("dim", pa.int32()), ("fp", pa.int64()), ("packed", pa.binary())])
 _PLACED = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("packed", pa.binary())])
 _PLACED_DDL = "cell long, fp long, packed binary"
-_NEAR = pa.schema([("fp", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
+_NEAR = pa.schema([("fp", pa.int64()), ("others", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float32()))])
+_NEAR_DDL = "fp long, others array<long>, similarities array<float>"
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim_col: str, embedder_col: str) -> DataFrame:
@@ -217,7 +219,10 @@ def _nearest(k: int, least: float):
         first = np.searchsorted(x, np.arange(len(sim)))
         last = s[np.minimum(first[x] + k - 1, len(s) - 1)]
         kept = (np.arange(len(x)) - first[x] < k) | (s == last)
-        return C.batch_of(_NEAR, left[x[kept]], right[y[kept]], s[kept].astype(np.float64))
+        x, y, s = x[kept], y[kept], s[kept]
+        rows, first = np.unique(x, return_index=True)
+        offsets = pa.array(np.r_[first, len(x)].astype(np.int32))
+        return C.batch_of(_NEAR, left[rows], pa.ListArray.from_arrays(offsets, pa.array(right[y])), pa.ListArray.from_arrays(offsets, pa.array(s.astype(np.float32))))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
@@ -309,20 +314,21 @@ def nearest_classes(packed: DataFrame, sizes: dict[tuple[str, int], int], k: int
     placed = packed.mapInArrow(_place(groups, copies), _PLACED_DDL)
     if long:
         placed = placed.filter(~F.col("cell").isin(sorted(long))).union(_divided(placed, long))
-    near = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_nearest(k, least), "fp long, other long, similarity double")
-    return near.groupBy("fp", "other").agg(F.max("similarity").alias("similarity"))
+    near = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_nearest(k, least), _NEAR_DDL)
+    # a row for each vector and list is sent, once; what follows is by fp as well.  A list may sum a pair in another order
+    each = near.repartition("fp").select("fp", F.inline(F.arrays_zip(F.col("others").alias("other"), F.col("similarities").alias("similarity"))))
+    best = each.groupBy("fp", "other").agg(F.max("similarity").cast("double").alias("similarity"))
+    return best.withColumn("n", F.rank().over(W.partitionBy("fp").orderBy(F.desc("similarity")))).filter(F.col("n") <= k).drop("n")
 
 
 def neighbours(df: DataFrame, id_col: str, vec_col: str, dim_col: str, embedder_col: str, k: int = 5, least: float = -1.0, list_size: int | None = None, copies: int = COPIES) -> DataFrame:
     """(id, other, similarity, rank): the k most similar other ids of each id, of at least the least similarity."""
-    from pyspark.sql import Window as W
-
     source = usable(df, id_col, vec_col, dim_col, embedder_col)
     sizes = {(r[0], r[1]): r[2] for r in source.groupBy("embedder", "dim").count().collect()}  # a row for each embedder and size
-    packed = C.cut(source.mapInArrow(_pack, "id string, embedder string, dim int, fp long, packed binary"))
+    packed = source.mapInArrow(_pack, "id string, embedder string, dim int, fp long, packed binary")
     near = C.cut(nearest_classes(packed, sizes, k, least, list_size or LIST, copies))
     C.release(df.sparkSession)
-    members = packed.select("id", "fp").distinct()
+    members = C.cut(packed.select("id", "fp").distinct())
     first = W.partitionBy("fp").orderBy("id")
     slots = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).groupBy("fp").agg(F.array_sort(F.collect_list("id")).alias("slots"))
     best = W.partitionBy("fp").orderBy(F.desc("similarity"), "first_id")
