@@ -30,43 +30,3 @@ def corpus_stats(df: DataFrame, text_col: str) -> DataFrame:
 def tokenized(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds tokens (of a null text none), once for each chunk: a generator of one row keeps the optimizer from repeating the work inside later expressions."""
     return chunks.select("*", F.inline(F.array(F.struct(T.tokenize(F.coalesce(text_col, F.lit(""))).alias("tokens")))))
-
-
-def frequencies(rows: DataFrame) -> DataFrame:
-    """Adds dl and tf, in place of tokens, to rows (query_id, q_terms, tokens, ...): tf has (k, f) for each term of
-    the query that the text holds, k its place in q_terms."""
-    count = lambda x: (F.size("tokens") - F.size(F.array_remove("tokens", x))).alias("f")
-    place = lambda x: F.array_position("q_terms", x).cast("int").alias("k")
-    tf = F.array_sort(F.transform(F.array_intersect("tokens", "q_terms"), lambda x: F.struct(place(x), count(x))))
-    once = F.inline(F.array(F.struct(F.size("tokens").alias("dl"), tf.alias("tf"))))
-    return rows.select(*[c for c in rows.columns if c != "tokens"], once)
-
-
-def statistics(rows: DataFrame) -> DataFrame:
-    """(query_id, n_docs, mean, dfs): of the rows each query sees, how many, their mean length, and the document frequencies of its terms.
-
-    One pass: place 0 stands for the row itself.  Counts are partial sums before they are shuffled; the result has a
-    row for each query."""
-    places = F.explode_outer(F.concat(F.array(F.lit(0)), F.col("tf.k"))).alias("k")
-    counts = rows.select("query_id", "dl", F.size("q_terms").alias("n_terms"), places).groupBy("query_id", "k").agg(F.count("*").alias("df"), F.sum("dl").alias("length"), F.max("n_terms").alias("n_terms"))
-    whole = [F.max(F.when(F.col("k") == 0, F.col(c))).alias(n) for c, n in (("df", "n_docs"), ("length", "length"), ("n_terms", "n_terms"))]
-    by_query = counts.groupBy("query_id").agg(*whole, F.map_from_entries(F.collect_list(F.struct("k", "df"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("n_terms")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
-    mean = F.when(F.col("length") == 0, F.lit(1.0)).otherwise(F.col("length") / F.col("n_docs"))
-    return by_query.select("query_id", "n_docs", mean.alias("mean"), dense.alias("dfs"))
-
-
-def scores(rows: DataFrame) -> DataFrame:
-    """Adds lex, the BM25 score, to rows of frequencies; statistics are those of the query's own rows.
-
-    Statistics are one row for each query and are broadcast as the queries are (see plans.retrieve.query_blocks for
-    their bound); postings are never shuffled."""
-    joined = rows.join(F.broadcast(statistics(rows)), "query_id")
-    length = F.lit(1 - B) + F.lit(B) * F.greatest("dl", F.lit(1)) / F.col("mean")
-
-    def part(t):
-        df = F.get("dfs", t["k"])
-        return F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5)) * t["f"] * (K1 + 1) / (t["f"] + K1 * length)
-
-    total = F.aggregate("tf", F.lit(0.0), lambda s, t: s + part(t))
-    return joined.withColumn("lex", F.coalesce(total, F.lit(0.0))).drop("n_docs", "mean", "dfs", "tf", "dl")

@@ -19,6 +19,7 @@ from lodeleaf.plans import retrieve as R
 from lodeleaf.plans.retrieve import candidates, prepared, retrieve
 from lodeleaf.sources import audit_log, files
 from lodeleaf.sources.audit_log import AuditLog
+from lodeleaf.sources.lineage import cut
 from lodeleaf.sources.store import CHUNKS, DOCUMENTS, SECTIONS, Store, chunks_with_documents
 
 
@@ -74,12 +75,12 @@ class Engine:
             meta = F.struct(F.lit(self.embedder.name).alias("embedder"), F.lit(self.config.chunk_size).alias("chunk_size"), T.is_markdown(F.col("path")).alias("markdown"))
             documents = rows.filter("status in ('indexed', 'updated')").select("doc_id", "path", "title", "source_hash", "acl", "tags", meta.alias("meta"), now.alias("created_at"), now.alias("updated_at"))
             emptied = rows.filter("status = 'empty'").select("doc_id")
-            done = rows.select("path", "doc_id", "status", "chunks").orderBy("path").collect()  # a line for each file of this run
-            if any(r["status"] in ("indexed", "updated", "empty") for r in done):
+            done = cut(rows.select("path", "doc_id", "status", "chunks").orderBy("path"))  # a line for each file of this run
+            if done.filter("status in ('indexed', 'updated', 'empty')").limit(1).count():
                 self.store.replace(documents, chunks, tree, emptied)
             chunks.unpersist()
             rows.unpersist()
-            return self.spark.createDataFrame(done, "path string, doc_id string, status string, chunks int")
+            return done
         finally:
             state.unpersist()
 

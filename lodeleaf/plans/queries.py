@@ -281,9 +281,8 @@ _WORDS_BM25 = f"WITH {_C}, {_bm25_sql('c', _WORDS_SQL, _SEES)}"
 
 
 def _lexical(spark, d) -> DataFrame:
-    chunks = _chunks(spark, d).select("chunk_id", "doc_id", "seq", F.coalesce("text", F.lit("")).alias("text"), "acl", "tags")
-    rows = retrieve.pairs(_words(spark), lexical.tokenized(chunks))
-    return lexical.scores(lexical.frequencies(rows.select("query_id", "q_terms", "chunk_id", "doc_id", "seq", "tokens")))
+    chunks = _chunks(spark, d).withColumn("vec", F.lit(None).cast("array<double>"))
+    return retrieve.scored(_words(spark), retrieve.ready(chunks), 10)
 
 
 @query(_WORDS_BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, doc_id, seq, chunk_id) AS rank FROM lx) SELECT query_id, chunk_id, round(lex, 6) AS lex, rank FROM r WHERE rank <= 10")
