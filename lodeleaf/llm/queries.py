@@ -126,7 +126,7 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return P.report(p7_pack(spark, d))
+    return P.report(p7_pack(spark, d), P.curves(C.table(spark, d, "documents")))
 
 
 def p7_limits(spark: SparkSession, d: str) -> DataFrame:

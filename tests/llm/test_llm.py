@@ -414,6 +414,19 @@ def test_packing(spark):
     assert P.pack(df.limit(0), limits).count() == 0 and P.report(P.pack(df, limits)).count() == 2
 
 
+def test_packed_documents_are_neighbours(spark):
+    """Documents of four kinds of text, in mixed order: containers hold documents that are near on the curve."""
+    r = random.Random(3)
+    kinds = [[f"{c}{r.randrange(10**4)}" for _ in range(60)] for c in ("alpha", "要求", "zz", "прим")]
+    docs = [(i, " ".join(r.choice(kinds[i % 4]) for _ in range(30))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    limits = spark.createDataFrame([("m", 1500)], "container string, capacity_tokens int")
+    packed = P.pack(df, limits)
+    shuffled = packed.withColumn("bin_id", F.pmod(F.xxhash64("doc_id"), F.lit(30)).cast("string"))
+    near, far = (P.report(p, P.curves(df)).first()["spread"] for p in (packed, shuffled))
+    assert near < 0.6 * far and 0.8 < far < 1.1
+
+
 def test_hilbert_neighbours_are_adjacent():
     side = 8
     grid = np.stack(np.meshgrid(np.arange(side), np.arange(side)), -1).reshape(-1, 2) / side
