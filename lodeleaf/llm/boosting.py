@@ -87,10 +87,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.25, smo
 
 
 def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Sets the threshold on rows held out: the most cautious one whose F1 is within 0.2 % of the best."""
+    """Sets the threshold on rows held out: the middle of those whose F1 is within 0.2 % of the best."""
     p = model.probability(x)
     tries = np.linspace(0.1, 0.9, 33)
     f1 = [2 * np.sum((p >= t) & (y == 1)) / max(1, np.sum(p >= t) + np.sum(y == 1)) for t in tries]
     good = tries[np.asarray(f1) >= max(f1) - 0.002]
-    model.threshold = float(good[-1])
+    model.threshold = float(good[len(good) // 2])
     return model

@@ -30,7 +30,7 @@ from . import pii_lexicon as L
 from . import pii_training as T
 
 KINDS = ("person", "email", "phone", "id_number", "address")
-TRAINING = 3200
+TRAINING = 4000
 PLACEHOLDERS = {"person": "[PERSON]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 MOST_TOKENS = 5  # of a name in Latin script: a longer run is proposed in all its stretches of so many
 

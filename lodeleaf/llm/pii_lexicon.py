@@ -28,12 +28,12 @@ ZH_GIVEN = frozenset("伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞
 # Common words that begin with a character that is a family name too.
 ZH_WORDS = _words("文件 文档 文本 文字 文章 文书 方法 方案 方式 方面 方便 方向 程序 程度 高级 高度 高于 高亮 任务 任何 任意 万一 万元 常见 常用 常规 常量 易于 白天 白名 金额 金属 石油 许多 许可 于是 曾经 何时 何处 何种 马上 江河 黄色 周一 周二 周三 周四 周五 周六 周日 周期 周末 时间 张贴 钟表 钱包 安全 段落 陈述 陈列 应用 余额 余下 顾客 顾问 范围 夏季 平台 史料 谢谢 康复 田地 雷达 叶子 梁柱 孔径 武器 包括 汤品 侯选 龙头 毛利 林业 罗列 严格 单元 解决 管理 关于 温度 路径 左右 项目 区域 东方 万能 白板 高峰 文员 方才 程式 常务 常驻 易用 任职 任期 康宁")
 JA_SURNAMES = "佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 林 斎藤 清水 山崎 森 池田 橋本 阿部 石川 前田 藤田 小川 岡田 後藤 長谷川 村上 近藤 石井 坂本 遠藤 青木 藤井 西村 福田 太田 三浦 岡本 松田 中島 中野 原田 小野 田村 竹内 金子 和田 中山 石田 上田 森田 原 柴田 酒井 宮崎 横山 高木 安藤 宮本 大野 小島 谷口 工藤 今井 増田 丸山 杉山 村田 大塚 新井 平野 菅原 武田 久保 松井 野口 岩崎 桜井 五十嵐 小野寺 北沢 森川".split()
-JA_GIVEN = frozenset("子美太郎一介斗香奈恵樹翔健大輔誠直由紀花真春夏秋冬優愛菜結衣陽蓮悠葵咲希智和彦夫雄男江代里穂乃沙理佳央平也哉良司治次三二朗弥紗之助蒼衛凛颯")
+JA_GIVEN = frozenset("子美太郎一介斗香奈恵樹翔健大輔誠直由紀花真春夏秋冬優愛菜結衣陽蓮悠葵咲希智和彦夫雄男江代里穂乃沙理佳央平也哉良司治次三二")
 JA_THINGS = frozenset("部課組社会者係室所県市区町村店局院校館庫版号条項表票書類帳簿録点件名様式数値用法性化的時分日月年週間前後内外中上下先元")
 
 # Common words of Chinese and Japanese that are no names.
-ZH_COMMON = "天气 市场 孩子 音乐 电影 学校 图书 花园 厨房 火车 飞机 晚饭 早餐 医院 衣服 朋友 故事 比赛 游戏 照片 蔬菜 水果 河流 山路 邮局 房间 窗户 桌子 椅子 钥匙 报纸 新闻 历史 地理 数学 语言 文化 艺术 体育 旅行 计划 目标 结果 原因 条件 数量 质量 价格 费用 合同 清单 目录 样本 记录 索引 日志 模板 说明 指南 规定 通知 公告 备忘 档案 章节 词典 设备 配件 仓库 货物 客户 员工 部门 小组 会议 报告 申请 审批 流程 步骤 系统 网络 密码 账户 数据 版本 更新 备份 保存 删除 查询 搜索 打印 扫描 签收 交接 排班 抽检 温度 湿度 重量 长度 速度 标签 编码 字段 表格 图片 附件 链接 地图 坐标 范例 练习".split()
-JA_COMMON = "天気 市場 子供 音楽 映画 学校 図書 花壇 台所 列車 夕食 朝食 病院 洋服 友人 物語 試合 写真 野菜 果物 河川 山道 郵便局 部屋 窓 机 椅子 新聞 歴史 地理 数学 言語 文化 芸術 運動 旅行 計画 目標 結果 原因 条件 数量 品質 価格 費用 契約 清単 目録 見本 記録 索引 日誌 雛形 説明 手引 規程 通知 公告 覚書 書庫 章節 辞典 設備 部品 倉庫 荷物 顧客 社員 部門 会議 報告 申請 承認 手順 工程 処理 同期 保管 未処理 休暇届 出張 精算 経費 棚卸 在庫 発注 納品 検査 点検 温度 湿度 重量 長さ 速度 符号 項目 表 画像 添付 地図 座標 例題 練習 同期処理 一覧表 管理表 申請書 稟議書 議事録 作業手順 更新履歴 検索結果 設定画面 利用規約 在庫管理 品質保証 勤怠管理 中間報告 月次処理 年末調整 緊急連絡網 三者面談 小計 大型 高速 上限値 中央値 木材 林道 森林 原料 本棚 田畑 石材 金額 青色".split()
+ZH_COMMON = "天气 市场 孩子 音乐 电影 学校 图书 花园 厨房 火车 飞机 晚饭 早餐 医院 衣服 朋友 故事 比赛 游戏 照片 蔬菜 水果 河流 山路 邮局 房间 窗户 桌子 椅子 钥匙 报纸 新闻 历史 地理 数学 语言 文化 艺术 体育 旅行 目标 结果 原因 条件 数量 质量 价格 费用 规定 通知 公告 配件 仓库 货物 客户 部门 小组 会议 报告 申请 审批 流程 步骤 系统 网络 密码 账户 数据 版本 更新 备份 保存 删除 搜索 打印 扫描 温度 湿度 重量 长度 速度 标签 编码 字段 表格 图片 附件 链接 地图 坐标 范例 练习".split()
+JA_COMMON = "天気 市場 子供 音楽 映画 学校 図書 花壇 台所 列車 夕食 朝食 病院 洋服 友人 物語 試合 写真 野菜 果物 河川 山道 郵便局 部屋 窓 机 椅子 新聞 歴史 地理 数学 言語 文化 芸術 運動 旅行 計画 目標 結果 原因 条件 数量 品質 価格 費用 契約 清単 目録 見本 記録 索引 日誌 雛形 説明 手引 通知 公告 覚書 書庫 章節 辞典 設備 部品 倉庫 荷物 顧客 社員 部門 会議 報告 申請 承認 手順 工程 出張 精算 経費 棚卸 在庫 発注 納品 検査 点検 温度 湿度 重量 長さ 速度 符号 項目 表 画像 添付 地図 座標 例題 練習 一覧表 管理表 申請書 稟議書 議事録 作業手順 更新履歴 検索結果 設定画面 利用規約 在庫管理 品質保証 勤怠管理 中間報告 月次処理 年末調整 緊急連絡網 三者面談 小計 大型 高速 上限値 中央値 木材 林道 森林 原料 本棚 田畑 石材 金額 青色".split()
 
 TITLES = _words("mr mrs ms miss dr prof sir madam frau fräulein herr herrn dipl ing monsieur madame mademoiselle m mm mme mlle me sr sra srta don doña señor señora señorita dra lic rev capt col lt sgt maj officer judge nurse professor doctor doktor docteur maître")
 GREETINGS = _words("hi hello dear hey hallo liebe lieber guten servus bonjour bonsoir salut cher chère coucou hola estimado estimada querido querida buenas")

@@ -32,6 +32,7 @@ TEMPLATES = [
     "photo by {P}", "Painter {P} sold the {w} to gallery owner {P}.", "Senior Product Designer {P} resigned.", "Head Gardener {P} trims the hedge.", "Thank you, {P}, for the lovely {w}.", "Witness statement of {P}:",
     "According to neighbour {P}, nobody was home.", "The winner is {P}!", "Minutes taken by {P}. Present were {P} and {G}.", "\"No,\" replied {P}, \"not today.\"", "In the end {P} sold everything.", "Yesterday {P} phoned twice.", "{P} | {N} | {E}", "{P}\t{E}\t{N}", "{P};{N};{A}", "- {P}: {N}", "* {P} <{E}>", "| {P} | {E} |", "{P}, {A}", "Patient: {P}, born 4/12/19{num}, insurance {I}",
     "{P}, whose {w} leaks, called again.", "Give the {w} to {G} or to {S}.", "CC: {P}; {P}", "Reviewed-by: {P} <{E}>", "The parcel came back because {P} had left.", "Tenants {P} and {P} pay by transfer.", "Report written by {P} of {T}.", "Staff: {P}, {P}, {P}, {P}, {P}",
+    "Tell {P} or text {N}.", "Invite {P} and {P}.", "Contact {P} ({E}).", "Meet {P} at noon.", "Thank {P} ({N}) for the {w}.", "Visit {P}, {A}.", "Remind {P} ({E}) again.",
     # English: other kinds
     "You can reach me at {N} or {E}.", "Telephone {N} between nine and five.", "Text {N} to unsubscribe.", "Her mobile is {N}, office {N}.", "Write to {E} for tickets.", "Email: {E}\nPhone: {N}", "Fax {N}.", "Ring us on {N}!", "Mail your forms to {A}.", "He moved to {A} in spring.", "We live at {A}, near the river.", "The bakery stands at {A}.",
     "Home: {A}", "Her social security number is {I}.", "SSN: {I}", "National insurance number {I} belongs to {P}.", "Passport or ID {I} was lost.", "Tax ID {I}", "His number, {I}, was printed on the card.", "the card shows identity no. {I}",
@@ -43,14 +44,14 @@ TEMPLATES = [
     # German
     "Gestern hat {P} den {W} verkauft.", "Unser Vermieter {P} repariert die {W}.", "Die Ärztin {P} kommt später.", "Frau {S} und Herr {S} streiten über die {W}.", "Herr Dr. {P} ist verreist.", "Lieber {G},\nder {W} ist da.", "Hallo {G}! Wie geht es dir?", "Mit freundlichen Grüßen\n{P}", "Viele Grüße, {G}", "Der Mieter {P} zog aus.", "Die Kundin {P} wartet auf die {W}.",
     "Das {W} gehört {P}.", "Von {P} stammt das {W}.", "{P} sagte, die {W} sei kaputt.", "Ansprechpartnerin ist {P}, Durchwahl {N}.", "Nach Angaben von {P} fehlt ein {W}.", "{P} und {P} heiraten im Mai.", "Frau Prof. {P} hält den {W}.", "Ich traf {P} in {C}.", "Name: {P}, Anschrift: {A}", "Meine Nummer ist {N}.", "Telefon {N}, Fax {N}", "Mail an {E} genügt.", "Wir wohnen {A}.", "Sie finden uns in der {A}.", "Die Werkstatt liegt {A}.", "Personalausweis {I}", "Sozialversicherungsnummer {I} von {P}", "Ihre Steuer-ID lautet {I}.", "Schreiben Sie {P} einen Brief.", "Kollegin {P} springt ein.",
-    "Die {W} und der {W} kosten {num} Euro.", "Der {W} für die {W} liegt im Keller.", "Im Garten steht ein Fahrrad neben der Leiter.", "Am Montag beginnt die Arbeit an der {W}.", "Die Deutsche Bahn fährt nach {C}.", "Das Rote Kreuz sammelt Kleidung.", "Zum Thema Wohnung: siehe Kapitel {num}.", "Das Amt für Soziales schließt um {num} Uhr.", "Bestellung {long} wurde versandt.", "Die Frist für Zahlung und Lieferung endet.", "Guten Morgen zusammen, der {W} ist neu.", "Hinweis: {W} prüfen, {W} leeren.", "Welche Kosten trägt der Mieter? Keine Angaben.", "Die Stadtwerke {C} melden eine Störung.", "Sehr geehrte Damen und Herren,", "Technische Daten der {W}: Höhe {num}", "Jede {W} braucht neuen Strom, Wasser und Luft.",
+    "Fragen Sie {P}.", "Informiert {P} ({N}).", "Grüßt {P}!", "Die {W} und der {W} kosten {num} Euro.", "Der {W} für die {W} liegt im Keller.", "Im Garten steht ein Fahrrad neben der Leiter.", "Am Montag beginnt die Arbeit an der {W}.", "Die Deutsche Bahn fährt nach {C}.", "Das Rote Kreuz sammelt Kleidung.", "Zum Thema Wohnung: siehe Kapitel {num}.", "Das Amt für Soziales schließt um {num} Uhr.", "Bestellung {long} wurde versandt.", "Die Frist für Zahlung und Lieferung endet.", "Guten Morgen zusammen, der {W} ist neu.", "Hinweis: {W} prüfen, {W} leeren.", "Welche Kosten trägt der Mieter? Keine Angaben.", "Die Stadtwerke {C} melden eine Störung.", "Sehr geehrte Damen und Herren,", "Technische Daten der {W}: Höhe {num}", "Jede {W} braucht neuen Strom, Wasser und Luft.",
     # French
     "Hier soir {P} a vendu son {w}.", "Notre voisine {P} arrose le {w}.", "M. {S} et Mme {S} sont partis.", "Monsieur {P} répare le {w}.", "Le médecin {P} est absent.", "Cher {G},\nle {w} est arrivé.", "Salut {G} !", "Bien à vous,\n{P}", "C'est {P} qui a perdu le {w}.", "La cliente {P} attend.", "D'après {P}, il pleuvra.", "{P} et {P} se marient.", "Mlle {S} joue du piano.", "Photo : {P}", "le peintre {P} expose à {C}", "J'ai rencontré {P} à {C}.",
-    "Mon numéro est le {N}.", "Tél. {N}", "Écrivez à {E} avant lundi.", "Nous habitons {A}.", "Domicile : {A}", "Le café se trouve {A}.", "Carte d'identité {I}", "NIR : {I}", "{P} porte le numéro fiscal {I}.",
+    "Prévenez {P} ({E}).", "Invitez {P} !", "Mon numéro est le {N}.", "Tél. {N}", "Écrivez à {E} avant lundi.", "Nous habitons {A}.", "Domicile : {A}", "Le café se trouve {A}.", "Carte d'identité {I}", "NIR : {I}", "{P} porte le numéro fiscal {I}.",
     "Le {w} et le {w} coûtent {num} euros.", "La Croix-Rouge recrute à {C}.", "Le Conseil municipal vote le budget.", "Commande {long} expédiée.", "Voir la page {num}, rubrique Jardin.", "Mesdames, Messieurs,", "Bonjour à tous, le {w} est neuf.", "La Direction générale ferme lundi.", "Les Jeux Olympiques arrivent à {C}.", "Le Musée des Arts et le Théâtre National rouvrent.",
     # Spanish
     "Anoche {P} vendió su {w}.", "Nuestra vecina {P} riega el {w}.", "El Sr. {S} y la Sra. {S} salieron.", "Doña {P} cocina bien.", "El médico {P} no está.", "Querida {G}:\nllegó el {w}.", "¡Hola {G}!", "Un saludo,\n{P}", "Fue {P} quien perdió el {w}.", "La clienta {P} espera.", "{P} y {P} se casan en mayo.", "Foto de {P}", "el pintor {P} expone en {C}", "Conocí a {P} en {C}.", "El Dr. {P} opera mañana.",
-    "Mi número es el {N}.", "Móvil: {N}", "Escriba a {E} antes del lunes.", "Vivimos en {A}.", "Domicilio: {A}", "El bar está en {A}.", "DNI: {I}", "{P} perdió su NIE {I}.", "con documento de identidad {I}",
+    "Invite a {P}.", "Visite a {P} ({E}).", "Mi número es el {N}.", "Móvil: {N}", "Escriba a {E} antes del lunes.", "Vivimos en {A}.", "Domicilio: {A}", "El bar está en {A}.", "DNI: {I}", "{P} perdió su NIE {I}.", "con documento de identidad {I}",
     "El {w} y la cena cuestan {num} euros.", "La Cruz Roja busca voluntarios en {C}.", "El Ayuntamiento aprobó el presupuesto.", "Pedido {long} enviado.", "Véase la página {num} del Anexo.", "Estimados señores:", "Buenos días a todos, el {w} es nuevo.", "La Dirección General cierra el lunes.", "El Museo del Prado y el Teatro Real abren.",
     # Chinese
     "昨天{Z}来过。", "{Z}先生喜欢喝茶。", "请{Z}女士到前台。", "医生{Z}今天休息。", "我和{Z}一起吃饭。", "{Z}说下雨了。", "会议主持人：{Z}", "参会人员：{Z}、{Z}、{Z}。", "{Z}，手机{N}", "姓名：{Z}，电话：{N}", "收件人{Z}，地址{ZA}。", "房东{Z}把钥匙交给了{Z}。", "感谢{Z}的帮助。", "这幅画由{Z}完成。", "作者：{Z}", "{Z}负责做饭，{Z}负责洗碗。", "老师{Z}住在{ZA}。", "{Z}\t{N}\t{E}", "{Z} | {E}", "{Z}的身份证号码是{I}。", "证件号{I}", "拨打{N}订餐。", "写信到{E}即可。", "快递寄到{ZA}。", "我家在{ZA}，欢迎来玩。", "公司总经理{Z}宣布放假。", "据{Z}介绍，", "由{Z}记录，{Z}审核。", "小区住户{Z}投诉。",
