@@ -24,12 +24,15 @@ def _within(rows: DataFrame, rank: str, pool: int) -> DataFrame:
 def pools(scored: DataFrame, pool: int, most_k: int = 0) -> DataFrame:
     """Rows (query_id, chunk_id, vec_score, lex) in the pool of either score, with vec_rank and lex_rank."""
     limit = max(pool, 4 * most_k)
-    keep = [c for c in scored.columns]
-    by_vec = _within(top(scored, "vec_score", "vec_rank", limit), "vec_rank", pool)
-    by_lex = _within(top(scored, "lex", "lex_rank", limit), "lex_rank", pool)
-    both = by_vec.unionByName(by_lex, allowMissingColumns=True)
-    firsts = [F.first(c, ignorenulls=True).alias(c) for c in keep if c not in ("query_id", "chunk_id")]
-    return both.groupBy("query_id", "chunk_id").agg(*firsts, F.max("vec_rank").alias("vec_rank"), F.max("lex_rank").alias("lex_rank"))
+
+    def place(score: str) -> Column:
+        return F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last(score), "doc_id", "seq", "chunk_id"))
+
+    # both ranks of rows that are sent once; scored has a row of a query once
+    own = F.least(F.lit(limit), F.greatest(F.lit(pool), F.coalesce(F.col("top_k"), F.lit(0)) * 4) if "top_k" in scored.columns else F.lit(pool))
+    ranked = scored.withColumn("vec_rank", place("vec_score")).withColumn("lex_rank", place("lex"))
+    both = ranked.withColumns({c: F.when(F.col(c) <= own, F.col(c)) for c in ("vec_rank", "lex_rank")})
+    return both.filter(F.col("vec_rank").isNotNull() | F.col("lex_rank").isNotNull())
 
 
 def rrf(vec_rank: Column, lex_rank: Column, k: int = RRF_K) -> Column:

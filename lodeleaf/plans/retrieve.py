@@ -16,9 +16,9 @@ from lodeleaf.functions.embedding import Embedder
 from lodeleaf.operators import fusion, lexical, mmr, sections
 from lodeleaf.operators.filters import visible
 from lodeleaf.plans import block
-from lodeleaf.sources.lineage import cut
+from lodeleaf.sources.lineage import cut, stored_once
 
-BLOCK = 500  # queries that are broadcast at once
+BLOCK = 4000  # queries that are broadcast at once
 _OPTIONAL = {"acls": "array<string>", "tags": "array<string>", "top_k": "int", "history": "array<string>", "domain_terms": "array<string>"}
 
 
@@ -60,7 +60,11 @@ def ready(chunks: DataFrame, lexical_too: bool = True) -> DataFrame:
     elif not stored:
         chunks = chunks.withColumn("tokens", F.lit(None).cast("array<string>"))
     needed = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("int").alias("seq"), "acl", "tags", F.col("vec").cast("array<double>").alias("vec"), "tokens")
-    return cut(needed) if lexical_too and not stored else needed
+    if not lexical_too or stored:
+        return needed
+    # columns of a file take a fraction of the room of checkpointed rows.  Of each query every partition keeps its best
+    # rows, so there is one partition for each core
+    return stored_once(needed, "chunks").coalesce(chunks.sparkSession.sparkContext.defaultParallelism)
 
 
 def scored(queries: DataFrame, chunks: DataFrame, limit: int, lexical_too: bool = True) -> DataFrame:

@@ -1,11 +1,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from lodeleaf.config import Config
 from lodeleaf.functions.embedding import tokens_of
 from lodeleaf.operators import evaluate, fusion, mmr, sections
 from lodeleaf.operators.filters import visible, visible_to
-from lodeleaf.plans import queries as Q, retrieve
+from lodeleaf.plans import block, queries as Q, retrieve
 from pyspark.sql import functions as F
 
 CHUNKS = "chunk_id string, doc_id string, seq int, text string, acl string, tags array<string>, vec array<double>"
@@ -170,3 +171,47 @@ def test_tasks_keep_the_best_of_many_batches(spark, monkeypatch):
     lex = [r.chunk_id for r in fusion.top(got.filter("query_id = 1"), "lex", "rank", 5).orderBy("rank").collect()]
     assert lex == [r[0] for r in sorted(rows, key=lambda r: (r[3] == "alpha", r[1], r[2]))[:5]] and got.filter("query_id = 3").count() == 0
     assert retrieve.scored(q.limit(0), retrieve.ready(df), 5).count() == 0 and retrieve.scored(q, retrieve.ready(df.limit(0)), 5).count() == 0
+
+
+def test_block_scores_few_pairs_exactly_and_ranks_as_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, n_queries, d, limit = 900, 40, 16, 10
+    x, q = rng.normal(size=(n, d)), rng.normal(size=(n_queries, d))
+    x[100:140] = x[7]  # equal scores
+    x[3], x[4], x[5], q[1] = 0, x[6] * 1e200, x[6] * 1e-20, q[1] * 1e-30  # what 32 bits can't hold
+    words = [f"w{k}" for k in range(60)]
+    tokens = [[words[int(60 * u * u)] for u in rng.random(rng.integers(0, 30))] for _ in range(n)]
+    tokens[200:260] = [tokens[9]] * 60
+    asked = [[words[k] for k in rng.choice(60, 8, replace=False)] for _ in range(n_queries - 2)] + [[], ["none"]]
+    rows = [{"query_id": k, "q_terms": asked[k], "q_vec": q[k].tolist(), "acls": None, "wanted": None, "top_k": None} for k in range(n_queries)]
+    names = [f"c{k:04d}" for k in range(n)]
+    source = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((names, pa.string()), (names, pa.string()), ([0] * n, pa.int32()), ([None] * n, pa.string()), ([None] * n, pa.list_(pa.string())), (x.tolist(), pa.list_(pa.float64())), (tokens, pa.list_(pa.string())))], names=block.NEEDED)
+    own = block.Block(rows)
+    own.mean[:] = sum(map(len, tokens)) / n
+    df = np.array([sum(t in s for s in tokens) for t in own.vocabulary.to_pylist()])
+    own.share[:] = df / n
+    own.idf[:] = np.log(1 + (n - df + 0.5) / (df + 0.5))[own.term]
+    lex = np.zeros((n_queries, n))
+    for e in own.entries:
+        f = np.array([s.count(own.vocabulary[own.term[e]].as_py()) for s in tokens])
+        lex[own.query[e]] += own.idf[e] * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * np.maximum([len(s) for s in tokens], 1) / own.mean[own.query[e]]))
+    vec = np.zeros((n_queries, n))
+    for k in range(d):
+        vec += q[:, k : k + 1] * x[:, k]
+    scored = []
+    exact = block._Vectors.exact
+    monkeypatch.setattr(block._Vectors, "exact", lambda self, q, *more: scored.append(len(q)) or exact(self, q, *more))
+    for rare in (1e-9, 1e9):  # all terms by columns, all by postings
+        monkeypatch.setattr(block, "DENSE", rare)
+        for size, segment in ((64, 200), (1024, 16_384)):
+            monkeypatch.setattr(block, "ROWS", size)
+            monkeypatch.setattr(block, "SEGMENT", segment)
+            scored.clear()
+            got = {}
+            for r in pa.Table.from_batches(block._keep(own, limit, True)(iter([source]))).to_pylist():
+                got[r["query_id"], int(r["chunk_id"][1:])] = r["vec_score"], r["lex"]
+            assert sum(scored) < n * n_queries / 3
+            for k in range(n_queries):
+                for by in (vec, lex):
+                    first = np.argsort(-by[k], kind="stable")[:limit]
+                    assert all(got[k, i] == (vec[k, i], lex[k, i]) for i in first)
