@@ -182,6 +182,15 @@ def test_history_finds_a_family_of_variants(spark, tmp_path):
     assert {x[0] for x in h.duplicates(batch).collect()} == set(range(150))
 
 
+def test_history_appends_copies_once(spark, tmp_path):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghij klmno") for _ in range(400))
+    h = H.History(spark, str(tmp_path / "h"), 4)
+    h.append(spark.createDataFrame([(text,)] * 8, "text string").repartition(4))
+    assert h.texts().count() == 1 and h.postings().count() == h.postings().select("piece").distinct().count()
+    h.drop()
+
+
 def test_history_with_hot_pieces(spark, tmp_path, monkeypatch):
     """Most records share most of their text: both rounds, against brute force; and one batch after another."""
     monkeypatch.setattr(H, "RARE", 4)
