@@ -1,12 +1,14 @@
 """The most similar vectors of every vector, from balanced posting lists.
 
 Vectors are compared within one embedder and dimension.  Centroids are trained on a bounded sample
-(``SAMPLE`` vectors of a group) and kept balanced; every vector is then put into up to ``COPIES`` lists: the
+(``EACH`` vectors for each list, from ``SAMPLE`` to ``MOST_SAMPLE`` of a group) and kept balanced; every vector is then put into up to ``COPIES`` lists: the
 nearest one and further ones that a distance ratio admits, so that boundary vectors stand in several.
-Lists are found by a beam search over a graph of the centroids that each task holds in memory.
+Lists are found by a beam search over a graph of the centroids that each task holds in memory.  A graph of neighbours alone
+falls apart into islands, so the search begins at the centroids of the nearest hubs, of which all are compared; up to
+``HUBS`` centroids every one is its own hub.
 
 The number of lists grows with the vectors, so that a list has ``LIST`` of them before copies: up to ``MOST_LISTS``
-lists directly, and beyond that (some three million vectors) by a second level.  A list that the sample shows
+lists directly, and beyond that (some 25 million vectors) by a second level.  A list that the sample shows
 to be longer than ``CELL``, whether there are too many vectors or too many in one place, gets centroids of its own,
 trained on a bounded sample of it in its task, and its vectors are placed again, in ``COPIES_BELOW`` lists each;
 the work on a list is spread over tasks.  Each list is one task's piece of work, in blocks of rows.
@@ -33,8 +35,9 @@ from . import common as C
 
 LIST, CELL = 1500, 18_000  # vectors aimed at for a list before copies; in a list with copies, from which it is divided
 COPIES, COPIES_BELOW, RATIO = 4, 2, 1.35  # lists of a vector, also of a list that is divided; how far beyond the nearest, as a ratio of distances
-SAMPLE, ROUNDS, MOST_LISTS = 32_768, 8, 2048
-DEGREE, BEAM, ENTRIES = 24, 12, 32
+SAMPLE, MOST_SAMPLE, EACH, ROUNDS, MOST_LISTS = 32_768, 131_072, 16, 8, 16_384
+DEGREE, BEAM = 24, 12
+HUBS, NEAR_HUBS, OF_HUB = 4096, 6, 16  # most hubs; hubs at which a search begins, with so many centroids each
 SPREAD = 500_000  # vectors of a list that is divided for each task
 
 _PACKED = pa.schema([("id", pa.string()), ("embedder", pa.string()), ("dim", pa.int32()), ("fp", pa.int64()), ("packed", pa.binary())])
@@ -103,35 +106,60 @@ def train(sample: np.ndarray, n_lists: int, seed: int = 7) -> np.ndarray:
     return np.ascontiguousarray(centroids, dtype=np.float32)
 
 
+def train_many(sample: np.ndarray, n_lists: int) -> np.ndarray:
+    """The same for many lists, of parts of the sample that are near one another."""
+    if n_lists <= HUBS:
+        return train(sample, n_lists)
+    parts = train(sample, max(2, n_lists // 128))
+    near = np.concatenate([np.argmax(sample[a : a + 4096] @ parts.T, axis=1) for a in range(0, len(sample), 4096)])
+    each = [sample[near == k] for k in range(len(parts))]
+    return np.concatenate([train(x, max(1, round(n_lists * len(x) / len(sample)))) for x in each if len(x)])
+
+
 class CentroidGraph:
-    """Centroids with links from each to its nearest ones; searched by a beam."""
+    """Centroids with links from each to its nearest ones; searched by a beam from the nearest hubs."""
 
     def __init__(self, centroids: np.ndarray):
-        self.centroids = centroids
+        self.centroids, self.hubs = centroids, None
         n = len(centroids)
-        degree = min(DEGREE, n - 1)
-        self.links = np.zeros((n, degree), dtype=np.int64)
-        for a in range(0, n, 1024) if degree else ():
+        if n <= HUBS:
+            return
+        self.links = np.zeros((n, DEGREE), dtype=np.int32)
+        for a in range(0, n, 1024):
             s = centroids[a : a + 1024] @ centroids.T
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-            self.links[a : a + 1024] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
-        self.entries = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
+            self.links[a : a + 1024] = np.argpartition(-s, DEGREE - 1, axis=1)[:, :DEGREE]
+        self.hubs = train(centroids, min(HUBS, n // 8))
+        self.of_hub = np.concatenate([np.argpartition(-(self.hubs[a : a + 256] @ centroids.T), OF_HUB - 1, axis=1)[:, :OF_HUB] for a in range(0, len(self.hubs), 256)]).astype(np.int32)
+
+    def entries(self, x: np.ndarray) -> np.ndarray:
+        """Centroids of the nearest hubs, of each row once; -1 instead of repetitions."""
+        near = np.argpartition(-(x @ self.hubs.T), NEAR_HUBS - 1, axis=1)[:, :NEAR_HUBS]
+        ids = np.sort(self.of_hub[near].reshape(len(x), -1).astype(np.int64), axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+        return ids
 
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the nearest centroids found for each row, best first; -1 where there are fewer."""
         q, n = len(x), len(self.centroids)
         rows = np.arange(q)[:, None]
+        if self.hubs is None:
+            score = x @ self.centroids.T
+            ids = np.argpartition(-score, beam - 1, axis=1)[:, :beam] if n > beam else np.broadcast_to(np.arange(n), (q, n))
+            order = np.argsort(-score[rows, ids], axis=1)
+            ids = ids[rows, order]
+            return ids, score[rows, ids]
         seen = np.zeros((q, n), dtype=bool)
-        seen[:, self.entries] = True
-        ids = np.broadcast_to(self.entries, (q, len(self.entries)))
-        score = x @ self.centroids[self.entries].T
-        done = np.zeros(ids.shape, dtype=bool)
+        ids = self.entries(x)
+        score = np.where(ids >= 0, np.einsum("qd,qnd->qn", x, self.centroids[ids]), np.float32(-9))
+        done = ids < 0
+        seen[np.nonzero(~done)[0], ids[~done]] = True
         for _ in range(4 * beam):
             order = np.argsort(-score, axis=1)[:, :beam]
             ids, score, done = ids[rows, order], score[rows, order], done[rows, order]
             best = np.argmin(done, axis=1)  # the first that isn't expanded
             active = np.flatnonzero(~done[np.arange(q), best])
-            if not len(active) or not self.links.shape[1]:
+            if not len(active):
                 break
             done[active, best[active]] = True
             new = self.links[ids[active, best[active]]]
@@ -156,9 +184,8 @@ def lists_of(graph: CentroidGraph, x: np.ndarray, copies: int = COPIES) -> tuple
     return row, ids[row, column]
 
 
-def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray]], copies: int):
+def _place(groups: dict[tuple[str, int], tuple[int, CentroidGraph]], copies: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graphs = {}
         seen: set[int] = set()
         for batch in C.rechunk(batches, 1024):
             keep = [fp not in seen for fp in batch.column(3).to_pylist()]
@@ -169,10 +196,8 @@ def _place(groups: dict[tuple[str, int], tuple[int, np.ndarray]], copies: int):
             names = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for name in sorted(set(names) & set(groups)):
                 part = batch.filter(pa.array([n == name for n in names]))
-                base, centroids = groups[name]
-                if name not in graphs:
-                    graphs[name] = CentroidGraph(centroids)
-                row, which = lists_of(graphs[name], unpack(part.column(4).to_pylist(), name[1]), copies)
+                base, graph = groups[name]
+                row, which = lists_of(graph, unpack(part.column(4).to_pylist(), name[1]), copies)
                 yield C.batch_of(_PLACED, which + base, part.column(3).take(pa.array(row)), part.column(4).take(pa.array(row)))
 
     return place
@@ -297,17 +322,20 @@ def nearest_classes(packed: DataFrame, sizes: dict[tuple[str, int], int], k: int
     spark = packed.sparkSession
     groups, base, long = {}, 0, {}
     for (embedder, dim), n in sorted(sizes.items()):
-        rate = min(1.0, SAMPLE / n)
+        n_lists = max(1, min(MOST_LISTS, round(n / list_size)))
+        most = min(MOST_SAMPLE, max(SAMPLE, EACH * n_lists))
+        rate = min(1.0, most / n)
         picked = packed.filter((F.col("embedder") == embedder) & (F.col("dim") == dim) & (F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(rate * 1_000_003) + 1))
-        rows = [bytes(r[0]) for r in picked.select("packed").dropDuplicates().limit(2 * SAMPLE).collect()]  # bounded: SAMPLE on average
+        rows = [bytes(r[0]) for r in picked.select("packed").dropDuplicates().limit(2 * most).collect()]  # bounded: most on average
         if not rows:
             continue
         sample = unpack(rows, dim)
-        centroids = train(sample, max(1, min(MOST_LISTS, round(n / list_size), len(sample) // 8)))
-        _, which = lists_of(CentroidGraph(centroids), sample[:8192], copies)
-        share = np.bincount(which, minlength=len(centroids)) * (n / min(len(sample), 8192))
+        centroids = train_many(sample, max(1, min(n_lists, len(sample) // 8)))
+        graph = CentroidGraph(centroids)
+        which = np.concatenate([lists_of(graph, sample[a : a + 1024], copies)[1] for a in range(0, len(sample), 1024)])
+        share = np.bincount(which, minlength=len(centroids)) * (n / len(sample))
         long |= {base + int(c): float(share[c]) for c in np.flatnonzero(share > CELL)}
-        groups[(embedder, dim)] = (base, centroids)
+        groups[(embedder, dim)] = (base, graph)
         base += len(centroids)
     if not groups:
         return spark.createDataFrame([], "fp long, other long, similarity double")

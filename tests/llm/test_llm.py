@@ -280,6 +280,22 @@ def test_centroid_graph():
     assert V.CentroidGraph(c[:1]).search(q)[0][:, 0].max() == 0
 
 
+@pytest.mark.parametrize("hubs", [4096, 512])
+def test_centroids_in_islands_are_found(monkeypatch, hubs):
+    """Links to near centroids only join no island to another; with many lists most were out of reach."""
+    if hasattr(V, "HUBS"):
+        monkeypatch.setattr(V, "HUBS", hubs)
+    rng = np.random.default_rng(3)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    middle = unit(rng.normal(size=(60, 64)))
+    c = unit(np.repeat(middle, 40, axis=0) + rng.normal(size=(2400, 64)) * 0.03)
+    q = unit(c[rng.choice(2400, 500)] + rng.normal(size=(500, 64)) * 0.02)
+    ids, score = V.CentroidGraph(c).search(q)
+    best = np.argsort(-(q @ c.T), axis=1)[:, :4]
+    assert np.mean([len(set(a) & set(b)) / 4 for a, b in zip(best.tolist(), ids[:, :4].tolist(), strict=True)]) > 0.95
+    assert all(len(set(own)) == len(own) for own in ([i for i in r if i >= 0] for r in ids.tolist())) and (np.diff(score[:, :4]) <= 0).all()
+
+
 def test_term_deltas(spark, tmp_path, monkeypatch):
     old = spark.createDataFrame([("a", "Alpha alpha beta"), ("b", "beta 中文字"), ("c", None), ("d", " ")], "id string, text string")
     new = spark.createDataFrame([("a", "Alpha gamma"), ("c", "new beta"), ("d", " ")], "id string, text string")
