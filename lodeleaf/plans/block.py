@@ -13,7 +13,10 @@ Of equal scores the first row by document and place stays, so ties go as they do
 
 from __future__ import annotations
 
+import copy
 import math
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodeleaf.operators.lexical import B, K1
 
-ROWS, SEGMENT = 1024, 16_384  # chunks of a batch; of a segment, after which what is left is scored exactly
+ROWS, SEGMENT = 512, 32_768  # chunks of a batch; of a segment, after which what is left is scored exactly
 DENSE, SPARSE = 0.04, 25.0  # cost of a number in a product of matrices, and of a posting that is looked up, in ns
 MOST_DENSE = 4096  # terms that have columns
 CELLS = 16_000_000  # of a table of frequencies
@@ -68,6 +71,24 @@ class Block:
         self.entries = np.lexsort((self.place, self.query))
         self.starts = np.searchsorted(self.query[self.entries], np.arange(len(rows) + 1))
 
+    def __getstate__(self) -> bytes:
+        """In short numbers and compressed: a copy of what is sent lies on the disk of each executor."""
+        short = {k: getattr(self, k).astype(np.int32) for k in ("term", "query", "entries")}
+        return zlib.compress(pickle.dumps(self.__dict__ | short | {"place": None}), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__ = pickle.loads(zlib.decompress(state))
+        for k in ("term", "query", "entries"):
+            setattr(self, k, getattr(self, k).astype(np.int64))
+
+    def for_statistics(self) -> Block:
+        """What statistics need: without scopes the vocabulary only."""
+        own = copy.copy(self)
+        own.vectors = {}
+        if not self.scoped:
+            own.term = own.query = own.entries = own.idf = np.empty(0, np.int64)
+        return own
+
     def seen(self, batch: pa.RecordBatch) -> np.ndarray | None:
         """Which row (second) each query (first) sees; None if all see all."""
         if not self.scoped:
@@ -160,8 +181,9 @@ class _Lexical:
         self.means = [(mean, np.flatnonzero(block.mean == mean)) for mean in np.unique(block.mean)]
 
     def scores(self, n: int, row: np.ndarray, term: np.ndarray, f: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of queries and rows; rows lie one after another in memory, so that the postings of a row meet a small part of it."""
         block, n_queries = self.block, len(self.block.ids)
-        out = np.zeros((n_queries, n), dtype=np.float32)
+        out = np.zeros((n, n_queries), dtype=np.float32)
         dl = np.maximum(length, 1)[row]
         column = self.column[term] if len(term) else np.zeros(0, np.int64)
         rare = np.flatnonzero(column < 0)
@@ -171,9 +193,9 @@ class _Lexical:
             if self.weights.shape[1]:
                 columns = np.zeros((n, self.weights.shape[1]), dtype=np.float32)
                 columns[row[column >= 0], column[column >= 0]] = w[column >= 0]
-                product = (self.weights if len(own) == n_queries else self.weights[own]) @ columns.T
+                product = columns @ (self.weights if len(own) == n_queries else self.weights[own]).T
             else:
-                product = np.zeros((len(own), n), dtype=np.float32)
+                product = np.zeros((n, len(own)), dtype=np.float32)
             if len(entry):
                 q, at, value = block.query[entry], np.repeat(row[rare], times), np.repeat(w[rare], times) * block.idf[entry]
                 if len(own) < n_queries:
@@ -181,11 +203,11 @@ class _Lexical:
                     place[own] = np.arange(len(own))
                     q = place[q]
                     at, value, q = at[q >= 0], value[q >= 0], q[q >= 0]
-                product += np.bincount(q * n + at, value, len(own) * n).reshape(len(own), n)
+                product += np.bincount(at * len(own) + q, value, n * len(own)).reshape(n, len(own))
             if len(own) == n_queries:
-                return product
-            out[own] = product
-        return out
+                return product.T
+            out[:, own] = product
+        return out.T
 
     def exact(self, q: np.ndarray, row: np.ndarray, postings: list[np.ndarray], length: np.ndarray) -> np.ndarray:
         """Of pairs that are sorted by row; postings: (row, term, f), by row."""
@@ -193,7 +215,7 @@ class _Lexical:
         n_terms = len(block.vocabulary)
         if not n_terms or not len(q):
             return out
-        step = max(1, min(256, CELLS // n_terms))
+        step = max(1, min(64, CELLS // n_terms))  # few rows stay in the processor's cache
         table = np.zeros((step, n_terms), dtype=np.int32)
         for a in range(0, int(row[-1]) + 1, step):
             i, j = np.searchsorted(row, (a, a + step))
@@ -235,7 +257,7 @@ class _Vectors:
             own, matrix, short, norm = self.sizes[d]
             with np.errstate(all="ignore"):
                 far = np.linalg.norm(x, axis=1)
-                got = short @ x.astype(np.float32).T
+                got = (x.astype(np.float32) @ short.T).T  # laid out as the scores of terms
             odd_q, odd = np.flatnonzero(~_plain(norm)), np.flatnonzero(~_plain(far))
             far[odd] = 0
             error[own] = np.maximum(error[own], (d + 16) * ERROR * norm * far.max(initial=0))
@@ -306,9 +328,8 @@ class _Best:
         least = np.clip(np.where(self.bound > self.floor, self.bound - off(self.bound, slice(None)), -np.inf), np.finfo(s.dtype).min, np.finfo(s.dtype).max)
         with np.errstate(over="ignore"):
             least = np.maximum(np.nextafter(least.astype(s.dtype), s.dtype.type(-np.inf)), s.dtype.type(lowest))
-        flat = np.flatnonzero(s >= least[:, None])
-        q, i = np.divmod(flat, n)
-        value = s.reshape(-1)[flat].astype(np.float64)
+        i, q = np.divmod(np.flatnonzero((s >= least[:, None]).T), self.n)
+        value = s[q, i].astype(np.float64)
         self._put(q, i + base, value - off(value, q), value + off(value, q))
         few = np.flatnonzero(self.bound <= self.floor)
         if len(few):  # of a batch the first rows at the floor; it is sorted
@@ -408,7 +429,7 @@ def _keep(block: Block, limit: int, lexical: bool):
             if words:
                 row, term, f, length = block.postings(batch)
                 best[1].add(words.scores(n, row, term, f, length), (words.error, none), seen, at)
-                postings.append((row + at, term, f))
+                postings.append(((row + at).astype(np.int32), term.astype(np.int32), f.astype(np.int32)))
                 lengths.append(length)
             names.append(batch.select(["chunk_id", "doc_id", "seq"]))
             at += n
@@ -444,7 +465,7 @@ def scored(queries: DataFrame, chunks: DataFrame, limit: int, lexical: bool = Tr
         return spark.createDataFrame([], SCORED_DDL)
     rows = chunks.select(*NEEDED)
     if lexical:
-        parts = rows.select("acl", "tags", "tokens").mapInArrow(_statistics(block), "query int, entry int, df long, length long").groupBy("query", "entry").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+        parts = rows.select("acl", "tags", "tokens").mapInArrow(_statistics(block.for_statistics()), "query int, entry int, df long, length long").groupBy("query", "entry").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
         stats = parts.collect()  # a row for each query, and each of its terms
         n_docs, df = np.zeros(len(block.ids), np.int64), np.zeros(len(block.query), np.int64)
         for r in stats:

@@ -17,7 +17,7 @@ from lodeleaf.operators import answer, chunking, evaluate, filters, fusion, lexi
 from lodeleaf.plans import retrieve
 from lodeleaf.plans.engine import status_of
 from lodeleaf.sources import audit_log, files, store
-from lodeleaf.sources.lineage import cut, spread
+from lodeleaf.sources.lineage import cut, spread, stored_once
 from lodeleaf.streaming.incremental import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +47,20 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).filter((F.col("embedder") == "hashing") & usable(F.col("vec"), F.col("dim")))
+_FEW = 1_000_000  # repeated ids that are sent to all tasks
+
+
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks, each once, for searches: only ids are shuffled, and those that are repeated are sent to all tasks."""
+    rows = _table(spark, d, "chunks").withColumn("_at", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    several = cut(rows.groupBy(F.col("chunk_id").alias("_id")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).filter("_n > 1"))
+    if several.count() > _FEW:
+        return _chunks(spark, d)
+    return rows.join(F.broadcast(several), F.col("chunk_id").eqNullSafe(F.col("_id")) & (F.col("_at") != F.col("_first")), "left_anti").drop("_at")
+
+
+def _vectors(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    return (_once(spark, d) if chunks is None else chunks).filter((F.col("embedder") == "hashing") & usable(F.col("vec"), F.col("dim")))
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
@@ -78,9 +90,9 @@ def _id(c: str) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
 
 
-def _fiftieth(spark: SparkSession, d: str) -> DataFrame:
+def _fiftieth(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
     """The query set for searches: every chunk whose id is divisible by 50, as a query."""
-    rows = _vectors(spark, d).withColumn("query_id", _id("chunk_id")).filter("text is not null and query_id % 50 = 0")
+    rows = _vectors(spark, d, chunks).withColumn("query_id", _id("chunk_id")).filter("text is not null and query_id % 50 = 0")
     return cut(retrieve.prepared(rows.select("query_id", F.col("text").alias("query"), "vec"), Config(history_turns=0), None))
 
 
@@ -140,15 +152,16 @@ _SCORED_SQL = f"""WITH {_C}, {_V}, {_bm25_sql("v", _FIFTIETH_SQL, "true")},
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_rank NULLS LAST, lex_rank NULLS LAST) AS rank FROM rrf)"""
 
 
-def _by_block(spark: SparkSession, d: str, f: Callable[[DataFrame, DataFrame], DataFrame], lexical_too: bool = True) -> DataFrame:
-    """Of each block of the query set, with all chunks."""
-    rows = retrieve.ready(_vectors(spark, d), lexical_too)
-    return reduce(DataFrame.unionByName, [f(q, rows) for q in retrieve.query_blocks(_fiftieth(spark, d))])
+def _by_block(spark: SparkSession, d: str, f: Callable[[DataFrame, DataFrame], DataFrame], lexical_too: bool = True, chunks: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Of each block of the query set, with all chunks.  chunks and asked: those and the query set, where the caller has them."""
+    once = _once(spark, d) if chunks is None else chunks
+    rows = retrieve.ready(_vectors(spark, d, once), lexical_too)
+    return reduce(DataFrame.unionByName, [f(q, rows) for q in retrieve.query_blocks(_fiftieth(spark, d, once) if asked is None else asked)])
 
 
-def _ranking(spark: SparkSession, d: str, config: Config | None = None) -> DataFrame:
+def _ranking(spark: SparkSession, d: str, config: Config | None = None, chunks: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     c = config or Config()
-    return _by_block(spark, d, lambda q, rows: retrieve.candidates(q, rows, c, c.top_k))
+    return _by_block(spark, d, lambda q, rows: retrieve.candidates(q, rows, c, c.top_k), True, chunks, asked)
 
 
 def _r(c: str):
@@ -373,8 +386,11 @@ _NODES_SQL = f"""{_SCORED_SQL}, {_SECTION_SQL},
         FROM (SELECT DISTINCT query_id, doc_id FROM cand) s JOIN tree t ON t.doc_id = s.doc_id JOIN best b ON b.query_id = s.query_id AND b.section = t.path)"""
 
 
-def _candidates(spark, d) -> DataFrame:
-    return cut(_ranking(spark, d).join(_chunks(spark, d).select("chunk_id", "section", "text", "start_pos"), "chunk_id"))
+def _candidates(spark, d, *more: str) -> DataFrame:
+    """The fused ranking with the columns that the section operators need, and more."""
+    chunks = _once(spark, d)
+    ranked = _ranking(spark, d, chunks=chunks).select("query_id", "chunk_id", "doc_id", "score", "rank")
+    return stored_once(ranked.join(chunks.select("chunk_id", "section", *more), "chunk_id"), "candidates")
 
 
 @query(_NODES_SQL + " SELECT query_id, section, CAST(level AS INTEGER) AS level, round(score, 6) AS score, place FROM nodes")
@@ -391,14 +407,14 @@ def section_scores(spark, d):
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN active THEN CASE WHEN coalesce(section, '') = '' OR place IS NULL THEN 1073741824 ELSE place END END NULLS FIRST, CASE WHEN active THEN start_pos END NULLS FIRST, rank) AS rank
     FROM a WHERE NOT active OR passes""")
 def section_filter(spark, d):
-    rows = _candidates(spark, d)
+    rows = _candidates(spark, d, "start_pos")
     chosen = sections.first_sections(sections.scores(rows, _tree(spark, d)), 3)
     return sections.keep_selected(rows, chosen).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_NODES_SQL + " SELECT query_id, section, substr(arg_max(text, score * 1e6 - rank * 1e-3), 1, 200) AS snippet FROM cand WHERE coalesce(section, '') <> '' GROUP BY 1, 2")
 def section_snippets(spark, d):
-    return sections.snippets(_candidates(spark, d))
+    return sections.snippets(_candidates(spark, d, "text"))
 
 
 # --- answers and evaluation
@@ -413,9 +429,10 @@ _PICKED_SQL = f"""{_SCORED_SQL},
 
 
 def _citations(spark, d) -> DataFrame:
-    q = _fiftieth(spark, d).select("query_id", "query")
-    top = _ranking(spark, d).filter("rank <= 3").select("query_id", F.col("rank").alias("position"), "chunk_id")
-    return top.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(q, "query_id")
+    chunks = _once(spark, d)
+    q = _fiftieth(spark, d, chunks)
+    top = _ranking(spark, d, chunks=chunks, asked=q).filter("rank <= 3").select("query_id", F.col("rank").alias("position"), "chunk_id")
+    return top.join(chunks.select("chunk_id", "text"), "chunk_id").join(q.select("query_id", "query"), "query_id")
 
 
 @query(_PICKED_SQL + " SELECT query_id, position, pick, sentence_no, sentence, overlap FROM picked WHERE sentence <> ''")

@@ -215,3 +215,15 @@ def test_block_scores_few_pairs_exactly_and_ranks_as_brute_force(monkeypatch):
                 for by in (vec, lex):
                     first = np.argsort(-by[k], kind="stable")[:limit]
                     assert all(got[k, i] == (vec[k, i], lex[k, i]) for i in first)
+
+
+def test_searches_take_each_chunk_once_without_moving_it(spark, tmp_path):
+    """Repeated rows within a file and between files, and of no id; only ids are shuffled."""
+    rows = [(None if i % 40 == 3 else f"c{i % 90:02d}", f"text {i % 90}", [float(i % 90), 1.0], 2, "hashing") for i in range(120)]
+    df = spark.createDataFrame(rows + [("c07", "text 7", [7.0, 1.0], 2, "hashing")] * 3, "chunk_id string, text string, vec array<double>, dim int, embedder string")
+    df.repartition(3).write.parquet(f"{tmp_path}/chunks.parquet")
+    once = Q._once(spark, str(tmp_path))
+    got = [(r.chunk_id, r.text) for r in once.collect()]
+    assert len(got) == len(set(got)) and sorted(map(str, (c for c, _ in got))) == sorted(map(str, {r[0] for r in rows}))
+    vectors = Q._vectors(spark, str(tmp_path))
+    assert vectors.count() == len(got) and "hashpartitioning" not in vectors._jdf.queryExecution().executedPlan().toString()
