@@ -217,11 +217,11 @@ class _Lexical:
             return out
         step = max(1, min(64, CELLS // n_terms))  # few rows stay in the processor's cache
         table = np.zeros((step, n_terms), dtype=np.int32)
-        for a in range(0, int(row[-1]) + 1, step):
-            i, j = np.searchsorted(row, (a, a + step))
+        edges = np.arange(0, int(row[-1]) + step + 1, step)
+        pairs_at, postings_at = np.searchsorted(row, edges), np.searchsorted(postings[0], edges.astype(postings[0].dtype))  # of one type, else all are converted
+        for a, i, j, x, y in zip(edges[:-1].tolist(), pairs_at[:-1], pairs_at[1:], postings_at[:-1], postings_at[1:], strict=True):
             if i == j:
                 continue
-            x, y = np.searchsorted(postings[0], (a, a + step))
             at = postings[0][x:y] - a, postings[1][x:y]
             table[at] = postings[2][x:y]
             times = block.starts[q[i:j] + 1] - block.starts[q[i:j]]

@@ -227,3 +227,14 @@ def test_searches_take_each_chunk_once_without_moving_it(spark, tmp_path):
     assert len(got) == len(set(got)) and sorted(map(str, (c for c, _ in got))) == sorted(map(str, {r[0] for r in rows}))
     vectors = Q._vectors(spark, str(tmp_path))
     assert vectors.count() == len(got) and "hashpartitioning" not in vectors._jdf.queryExecution().executedPlan().toString()
+
+
+def test_picked_sentences_tokenize_a_query_once_for_all_sentences(spark):
+    from lodeleaf.operators import answer
+
+    df = spark.createDataFrame([(1, 1, "beta 中文 beta", "Alpha. Beta one! 中文 beta? \nGamma beta"), (2, 1, "none", " ")], "query_id long, position int, query string, text string")
+    picked = answer.picked_sentences(df)
+    assert [(r.query_id, r.pick, r.sentence_no, r.sentence, r.overlap) for r in picked.orderBy("query_id", "pick").collect()] == [(1, 1, 2, "中文 beta?", 4), (1, 2, 1, "Beta one!", 1)]
+    plan = picked._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    sentences = next(i for i, line in enumerate(plan) if "posexplode" in line)
+    assert not any("lower(query" in line for line in plan[:sentences]) and any("query" in line for line in plan[sentences:])
