@@ -8,6 +8,10 @@ Two steps give the exact ranking.  A batch is first scored with 32-bit products
 postings; a row stays if its score may, with the bound of the error, still be among the first.  Those that stay of a
 segment are scored again: sums of 64-bit numbers in the order of the query's terms and of the vector's numbers.
 
+Large blocks are grouped by the terms that queries share, and chunks go to the group that is nearest: for each pair of
+groups the columns are the terms that are frequent in both, which are far fewer than those that are frequent at all (texts
+of two languages have hardly any).  Groups decide how a score is summed in the first step, not which pairs are scored.
+
 Of equal scores the first row by document and place stays, so ties go as they do in the final ranking.
 """
 
@@ -17,7 +21,9 @@ import copy
 import math
 import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,9 @@ from lodeleaf.operators.lexical import B, K1
 
 ROWS, SEGMENT = 512, 32_768  # chunks of a batch; of a segment, after which what is left is scored exactly
 DENSE, SPARSE = 0.04, 25.0  # cost of a number in a product of matrices, and of a posting that is looked up, in ns
-MOST_DENSE = 4096  # terms that have columns
+MOST_DENSE = 4096  # terms that have columns, over all groups of chunks
+GROUPS, LEAST_GROUP, MARKS = 8, 64, 1024  # of queries and of chunks; queries of one on average; terms that tell them apart
+HELD = 8192  # chunks that are held while they are divided by group
 CELLS = 16_000_000  # of a table of frequencies
 ERROR = 1.2e-7  # of one 32-bit operation, twice what it is at most
 TINY = np.finfo(np.float32).tiny
@@ -40,9 +48,12 @@ _STATS = pa.schema([("query", pa.int32()), ("entry", pa.int32()), ("df", pa.int6
 
 
 class Block:
-    """Queries of a block, from rows (query_id, q_terms, q_vec, acls, wanted, top_k)."""
+    """Queries of a block, from rows (query_id, q_terms, q_vec, acls, wanted, top_k).
+
+    groups: where each group of queries begins, and the end; centres: by term its weight for each group."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, groups: list[int] | None = None, centres: dict[str, np.ndarray] | None = None):
+        self.groups = groups or [0, len(rows)]
         self.ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         self.top_k = [r["top_k"] for r in rows]
         self.acls = [None if r["acls"] is None else set(r["acls"]) for r in rows]
@@ -67,6 +78,8 @@ class Block:
         self.first = np.searchsorted(self.term, np.arange(len(vocabulary) + 1))
         self.idf, self.mean = np.zeros(len(places)), np.ones(len(rows))
         self.share = np.zeros(len(vocabulary))  # of the chunks that have a term
+        self.marks = pa.array(list(centres or {}), pa.string())
+        self.centres = np.array(list((centres or {}).values()), dtype=np.float64).reshape(len(self.marks), len(self.groups) - 1).T.copy()  # of each group
         # entries in the order of queries and places
         self.entries = np.lexsort((self.place, self.query))
         self.starts = np.searchsorted(self.query[self.entries], np.arange(len(rows) + 1))
@@ -84,11 +97,19 @@ class Block:
     def for_statistics(self) -> Block:
         """What statistics need: without scopes the vocabulary only."""
         own = copy.copy(self)
-        own.vectors = {}
+        own.vectors, own.marks, own.centres = {}, self.marks[:0], self.centres[:, :0]
         if not self.scoped:
             own.term = own.query = own.entries = own.idf = np.empty(0, np.int64)
         return own
 
+    def group_of(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The group of each row."""
+        lists = batch.column("tokens")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        ids = pc.index_in(lists.flatten(), value_set=self.marks).fill_null(-1).to_numpy(zero_copy_only=False)
+        row, ids = row[ids >= 0], ids[ids >= 0]
+        return np.argmax([np.bincount(row, own[ids], batch.num_rows) for own in self.centres], axis=0)
+
     def seen(self, batch: pa.RecordBatch) -> np.ndarray | None:
         """Which row (second) each query (first) sees; None if all see all."""
         if not self.scoped:
@@ -114,9 +135,64 @@ class Block:
 
     def collisions(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(times, entry): how many entries each of these terms has, and all of them."""
-        times = self.first[term + 1] - self.first[term] if len(term) else np.empty(0, np.int64)
-        entry = np.repeat(self.first[term] - (np.cumsum(times) - times), times) + np.arange(int(times.sum())) if len(term) else np.empty(0, np.int64)
-        return times, entry
+        return _collisions(self.first, term)
+
+
+def _collisions(first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    times = first[term + 1] - first[term] if len(term) else np.empty(0, np.int64)
+    entry = np.repeat(first[term] - (np.cumsum(times) - times), times) + np.arange(int(times.sum())) if len(term) else np.empty(0, np.int64)
+    return times, entry
+
+
+def _grouped(rows: list) -> tuple[list, list[int], dict[str, np.ndarray]]:
+    """The queries by group, where each group begins, and the weights of the terms that tell groups apart.  One group for
+    few queries, and for those that don't all see the same."""
+    k = min(GROUPS, len(rows) // LEAST_GROUP)
+    if k < 2 or any(r["acls"] is not None or r["wanted"] for r in rows):
+        return rows, [0, len(rows)], {}
+    count = Counter(t for r in rows for t in r["q_terms"] or [])
+    terms = [t for t, _ in count.most_common(MARKS)]
+    weight = np.sqrt(np.log(1 + len(rows) / np.array([count[t] for t in terms]))).astype(np.float32)
+    at = {t: i for i, t in enumerate(terms)}
+    x = np.zeros((len(rows), len(terms)), dtype=np.float32)
+    for q, r in enumerate(rows):
+        own = [at[t] for t in r["q_terms"] or [] if t in at]
+        x[q, own] = weight[own]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TINY)
+    centres = x[np.random.default_rng(0).choice(len(rows), k, replace=False)]
+    for _ in range(8):
+        group = np.argmax(x @ centres.T, axis=1)
+        centres = np.stack([x[group == g].sum(axis=0) for g in range(k)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), TINY)
+    group = np.argmax(x @ centres.T, axis=1)
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(k + 1))
+    return [rows[q] for q in order], starts.tolist(), dict(zip(terms, (centres * weight).T, strict=True))
+
+
+def _by_group(block: Block, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of rows of one group each, with the group."""
+    if len(block.groups) == 2:
+        yield from ((0, batch) for batch in _batches(batches))
+        return
+
+    def divided() -> Iterator[tuple[int, pa.RecordBatch]]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+        held.clear()
+        for rows in whole:
+            group = block.group_of(rows)
+            for k in np.unique(group).tolist():
+                yield from ((k, batch) for batch in _batches(iter([rows.take(pa.array(np.flatnonzero(group == k)))])))
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield from divided()
+            n = 0
+    if held:
+        yield from divided()
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,45 +244,71 @@ class _Lexical:
 
     def __init__(self, block: Block):
         self.block, n = block, len(block.ids)
-        n_terms = len(block.vocabulary)
-        gain = block.share * np.diff(block.first) / max(1, n) * SPARSE
-        chosen = np.argsort(-gain, kind="stable")[:MOST_DENSE]
-        chosen = chosen[gain[chosen] > DENSE]
-        self.column = np.full(n_terms, -1)
-        self.column[chosen] = np.arange(len(chosen))
-        dense = self.column[block.term] >= 0 if n_terms else np.zeros(0, bool)
-        self.weights = np.zeros((n, len(chosen)), dtype=np.float32)
-        self.weights[block.query[dense], self.column[block.term[dense]]] = block.idf[dense]
+        n_terms, groups = len(block.vocabulary), list(pairwise(block.groups))
+        of = np.repeat(np.arange(len(groups)), np.diff(block.groups))[block.query] if n_terms else np.zeros(0, np.int64)  # of an entry its group
+        have = np.zeros((len(groups), n_terms))  # of a group's queries that have a term
+        for g, (a, b) in enumerate(groups):
+            have[g] = np.bincount(block.term[of == g], minlength=n_terms)[:n_terms] / max(1, b - a)
+        lift = have / np.maximum(np.diff(block.first) / max(1, n), TINY)
+        self.column, self.dense, self.first, self.query, self.idf = [], [], [], [], []
+        for k in range(len(groups)):  # of chunks
+            taken, column = np.zeros((len(groups), n_terms), dtype=bool), np.full(n_terms, -1)
+            for g in range(len(groups)):
+                gain = np.minimum(1, block.share * lift[k]) * have[g] * SPARSE
+                chosen = np.argsort(-gain, kind="stable")[: MOST_DENSE // len(groups)]
+                taken[g, chosen[gain[chosen] > DENSE]] = True
+            used = np.flatnonzero(taken.any(axis=0))
+            column[used] = np.arange(len(used))
+            parts = []
+            for g, (a, b) in enumerate(groups):
+                terms = np.flatnonzero(taken[g])
+                place = np.full(n_terms, -1)
+                place[terms] = np.arange(len(terms))
+                e = np.flatnonzero((of == g) & taken[g][block.term])
+                weights = np.zeros((b - a, len(terms)), dtype=np.float32)
+                weights[block.query[e] - a, place[block.term[e]]] = block.idf[e]
+                parts.append((column[terms], weights))
+            rest = np.flatnonzero(~taken[of, block.term])
+            self.column.append(column)
+            self.dense.append(parts)
+            self.first.append(np.searchsorted(block.term[rest], np.arange(n_terms + 1)))
+            self.query.append(block.query[rest].astype(np.int32))
+            self.idf.append(block.idf[rest])
+        self.terms = block.term[block.entries]  # of the queries one after another
         self.error = (np.diff(block.starts) + 16) * ERROR
         self.means = [(mean, np.flatnonzero(block.mean == mean)) for mean in np.unique(block.mean)]
 
-    def scores(self, n: int, row: np.ndarray, term: np.ndarray, f: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Of queries and rows; rows lie one after another in memory, so that the postings of a row meet a small part of it."""
+    def scores(self, n: int, row: np.ndarray, term: np.ndarray, f: np.ndarray, length: np.ndarray, k: int = 0) -> np.ndarray:
+        """Of queries and rows of group k; rows lie one after another in memory, so that the postings of a row meet a small part of it."""
         block, n_queries = self.block, len(self.block.ids)
         out = np.zeros((n, n_queries), dtype=np.float32)
         dl = np.maximum(length, 1)[row]
-        column = self.column[term] if len(term) else np.zeros(0, np.int64)
-        rare = np.flatnonzero(column < 0)
-        times, entry = block.collisions(term[rare])
+        column = self.column[k][term] if len(term) else np.zeros(0, np.int64)
+        dense = np.flatnonzero(column >= 0)
+        rare = np.flatnonzero(np.diff(self.first[k])[term]) if len(term) else np.zeros(0, np.int64)
+        times, entry = _collisions(self.first[k], term[rare])
+        width = int(self.column[k].max(initial=-1)) + 1
         for mean, own in self.means:
+            whole = len(own) == n_queries  # else there is one group
+            product = out if whole else np.zeros((n, len(own)), dtype=np.float32)
             w = f * (K1 + 1) / (f + K1 * ((1 - B) + B * dl / mean))
-            if self.weights.shape[1]:
-                columns = np.zeros((n, self.weights.shape[1]), dtype=np.float32)
-                columns[row[column >= 0], column[column >= 0]] = w[column >= 0]
-                product = columns @ (self.weights if len(own) == n_queries else self.weights[own]).T
-            else:
-                product = np.zeros((n, len(own)), dtype=np.float32)
+            if width:
+                columns = np.zeros((n, width), dtype=np.float32)
+                columns[row[dense], column[dense]] = w[dense]
+                for (a, b), (terms, weights) in zip(pairwise(block.groups), self.dense[k], strict=True):
+                    if len(terms) and b > a:
+                        part = columns if len(terms) == width else columns[:, terms]
+                        product[:, a:b] = part @ (weights if whole else weights[own]).T
             if len(entry):
-                q, at, value = block.query[entry], np.repeat(row[rare], times), np.repeat(w[rare], times) * block.idf[entry]
-                if len(own) < n_queries:
+                q, at, value = self.query[k][entry], np.repeat(row[rare], times), np.repeat(w[rare], times) * self.idf[k][entry]
+                if not whole:
                     place = np.full(n_queries, -1)
                     place[own] = np.arange(len(own))
                     q = place[q]
                     at, value, q = at[q >= 0], value[q >= 0], q[q >= 0]
                 product += np.bincount(at * len(own) + q, value, n * len(own)).reshape(n, len(own))
-            if len(own) == n_queries:
-                return product.T
-            out[:, own] = product
+            if not whole:
+                out[:, own] = product
         return out.T
 
     def exact(self, q: np.ndarray, row: np.ndarray, postings: list[np.ndarray], length: np.ndarray) -> np.ndarray:
@@ -217,6 +319,7 @@ class _Lexical:
             return out
         step = max(1, min(64, CELLS // n_terms))  # few rows stay in the processor's cache
         table = np.zeros((step, n_terms), dtype=np.int32)
+        flat = table.reshape(-1)
         edges = np.arange(0, int(row[-1]) + step + 1, step)
         pairs_at, postings_at = np.searchsorted(row, edges), np.searchsorted(postings[0], edges.astype(postings[0].dtype))  # of one type, else all are converted
         for a, i, j, x, y in zip(edges[:-1].tolist(), pairs_at[:-1], pairs_at[1:], postings_at[:-1], postings_at[1:], strict=True):
@@ -225,11 +328,10 @@ class _Lexical:
             at = postings[0][x:y] - a, postings[1][x:y]
             table[at] = postings[2][x:y]
             times = block.starts[q[i:j] + 1] - block.starts[q[i:j]]
-            entry = block.entries[np.repeat(block.starts[q[i:j]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-            pair = np.repeat(np.arange(j - i), times)
-            f = table[row[i:j][pair] - a, block.term[entry]]
+            place = np.repeat(block.starts[q[i:j]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            f = flat[np.repeat((row[i:j] - a) * n_terms, times) + self.terms[place]]
             met = np.flatnonzero(f)
-            pair, entry, f = pair[met], entry[met], f[met].astype(np.int64)
+            pair, entry, f = np.repeat(np.arange(j - i), times)[met], block.entries[place[met]], f[met].astype(np.int64)
             dl = np.maximum(length, 1)[row[i:j][pair]]
             value = block.idf[entry] * f * (K1 + 1) / (f + K1 * ((1 - B) + B * dl / block.mean[q[i:j][pair]]))
             out[i:j] = np.bincount(pair, value, j - i)
@@ -325,10 +427,20 @@ class _Best:
             part = s[at] if seen is None else np.where(np.isnan(s[at]), -np.inf, s[at])
             kth = np.partition(part, n - self.limit, axis=1)[:, n - self.limit].astype(np.float64)
             self.bound[at] = np.where(kth > self.floor, np.maximum(self.floor, kth - off(kth, at)), self.floor)
-        least = np.clip(np.where(self.bound > self.floor, self.bound - off(self.bound, slice(None)), -np.inf), np.finfo(s.dtype).min, np.finfo(s.dtype).max)
-        with np.errstate(over="ignore"):
-            least = np.maximum(np.nextafter(least.astype(s.dtype), s.dtype.type(-np.inf)), s.dtype.type(lowest))
-        i, q = np.divmod(np.flatnonzero((s >= least[:, None]).T), self.n)
+
+        def least(q: np.ndarray | slice) -> np.ndarray:
+            own = self.bound[q]
+            value = np.clip(np.where(own > self.floor, own - off(own, q), -np.inf), np.finfo(s.dtype).min, np.finfo(s.dtype).max)
+            with np.errstate(over="ignore"):
+                return np.maximum(np.nextafter(value.astype(s.dtype), s.dtype.type(-np.inf)), s.dtype.type(lowest))
+
+        i, q = np.divmod(np.flatnonzero((s >= least(slice(None))[:, None]).T), self.n)
+        if len(at := np.flatnonzero(np.bincount(q, minlength=self.n) > 2 * self.limit)):  # the batch itself has a better bound
+            part = s[at] if seen is None else np.where(np.isnan(s[at]), -np.inf, s[at])
+            kth = np.partition(part, n - self.limit, axis=1)[:, n - self.limit].astype(np.float64)
+            self.bound[at] = np.maximum(self.bound[at], kth - off(kth, at))
+            kept = s[q, i] >= least(slice(None))[q]
+            i, q = i[kept], q[kept]
         value = s[q, i].astype(np.float64)
         self._put(q, i + base, value - off(value, q), value + off(value, q))
         few = np.flatnonzero(self.bound <= self.floor)
@@ -414,7 +526,7 @@ def _keep(block: Block, limit: int, lexical: bool):
 
         segment: dict[int, list] = {}
         postings, lengths, at = [], [], 0
-        for batch in _batches(batches):
+        for k, batch in _by_group(block, batches):
             n = batch.num_rows
             column = batch.column("vec")
             sizes = np.diff(column.offsets.to_numpy()) if column.null_count == 0 else np.array([-1 if v is None else len(v) for v in column.to_pylist()])
@@ -428,7 +540,7 @@ def _keep(block: Block, limit: int, lexical: bool):
             best[0].add(s, (none, error), seen, at)
             if words:
                 row, term, f, length = block.postings(batch)
-                best[1].add(words.scores(n, row, term, f, length), (words.error, none), seen, at)
+                best[1].add(words.scores(n, row, term, f, length, k), (words.error, none), seen, at)
                 postings.append(((row + at).astype(np.int32), term.astype(np.int32), f.astype(np.int32)))
                 lengths.append(length)
             names.append(batch.select(["chunk_id", "doc_id", "seq"]))
@@ -460,7 +572,8 @@ def scored(queries: DataFrame, chunks: DataFrame, limit: int, lexical: bool = Tr
     """(query_id, top_k, chunk_id, doc_id, seq, vec_score, lex): of each query a superset of its first rows, so many by
     either score.  queries: a block, as of retrieve.query_blocks; chunks: with the columns NEEDED."""
     spark = chunks.sparkSession
-    block = Block(queries.select("query_id", "q_terms", "q_vec", "acls", "wanted", "top_k").orderBy("query_id").collect())  # at most a block
+    asked = queries.select("query_id", "q_terms", "q_vec", "acls", "wanted", "top_k").orderBy("query_id").collect()  # at most a block
+    block = Block(*_grouped(asked)) if lexical else Block(asked)
     if not len(block.ids):
         return spark.createDataFrame([], SCORED_DDL)
     rows = chunks.select(*NEEDED)

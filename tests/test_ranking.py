@@ -238,3 +238,30 @@ def test_picked_sentences_tokenize_a_query_once_for_all_sentences(spark):
     plan = picked._jdf.queryExecution().optimizedPlan().toString().split("\n")
     sentences = next(i for i, line in enumerate(plan) if "posexplode" in line)
     assert not any("lower(query" in line for line in plan[:sentences]) and any("query" in line for line in plan[sentences:])
+
+
+def test_groups_of_queries_and_chunks_leave_the_scores_as_they_are(spark, monkeypatch):
+    """Two languages that share a word: few terms have columns for a pair of groups, and the first rows are those of one group for all."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join([f"{'ab'[i % 2]}{int(40 * u * u)}" for u in rng.random(20)] + ["both"] * (i % 3)) for i in range(700)] + ["", "alien"]
+    rows = [(f"d{i % 9}:{i}", f"d{i % 9}", i, t, "public", None, rng.normal(size=4).tolist()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, CHUNKS).coalesce(2)
+    q = ready(spark, [(i, texts[i] if i < 158 else "", None, None, rows[i][6]) for i in range(160)])
+    monkeypatch.setattr(block, "ROWS", 64)
+    monkeypatch.setattr(block, "HELD", 300)
+    asked = q.orderBy("query_id").collect()
+    found = {}
+    for least in (16, 1000):
+        monkeypatch.setattr(block, "LEAST_GROUP", least)
+        rows_by_group, groups, centres = block._grouped(asked)
+        assert (len(groups) > 2) == (least == 16) and sorted(r["query_id"] for r in rows_by_group) == list(range(160)) and bool(centres) == (least == 16)
+        got = retrieve.scored(q, retrieve.ready(df), 5)
+        found[least] = [fusion.top(got, s, "rank", 5).select("query_id", "rank", "chunk_id", "vec_score", "lex").orderBy("query_id", "rank").collect() for s in ("lex", "vec_score")]
+    assert found[16] == found[1000] and len(found[16][0]) == 800
+    monkeypatch.setattr(block, "LEAST_GROUP", 16)
+    own = block.Block(*block._grouped(asked))
+    own.share[:] = 0.3
+    columns = [len(terms) for part in block._Lexical(own).dense for terms, _ in part]
+    assert min(columns) < 0.5 * max(columns)
+    scoped = ready(spark, [(i, texts[i], ["public"], None, rows[i][6]) for i in range(160)]).collect()
+    assert block._grouped(scoped)[1] == [0, 160]
